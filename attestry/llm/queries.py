@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, lines, mixing, near_duplicates, spans
+from attestry.llm import boilerplate, bpe, lines, mixing, near_duplicates, residue, sentences, spans
 from attestry.sources.tables import read
 
 
@@ -25,6 +25,22 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select(F.col("id").alias("chunk_id"), "class_id", "n_links")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(read(spark, folder, "chunks"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_records(read(spark, folder, "chunks"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.page_elements(read(spark, folder, "chunks"))
+
+
+def p4_content(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.main_content(read(spark, folder, "chunks"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return lines.repeated_line_elements(read(spark, folder, "chunks"))
 
@@ -55,7 +71,9 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p5_found, p5_clean, p6_ids, p7_mix, p7_shares, p8_found, p8_report)
+    for f in (
+        p1_found, p1_classes, p2_found, p3_found, p4_found, p4_content, p5_found, p5_clean, p6_ids, p7_mix, p7_shares, p8_found, p8_report,
+    )
 }
 
 _P5_SQL = """
