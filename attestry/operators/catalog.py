@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,14 +21,13 @@ def latest(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     with a null key are no documents. All states merge in partial aggregates, so
     a key with many changes is never gathered.
     """
-    def order(c: str) -> Column:
-        return F.struct(F.col(version), F.to_json(F.struct(F.col(c))))
-
     fields = [c for c in changes.columns if c not in keys]
     present = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    return changes.where(present).groupBy(*keys).agg(
-        *(F.max_by(c, F.when(F.col(c).isNotNull(), order(c))).alias(c) for c in fields)
-    )
+    newest = {
+        c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(version).alias("version"), F.col(c).alias("value"))))["value"]
+        for c in fields
+    }
+    return changes.where(present).groupBy(*keys).agg(*(v.alias(c) for c, v in newest.items()))
 
 
 def once(rows: DataFrame, keys: list[str]) -> DataFrame:
