@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.maxent import MaxEnt, fit, hashed
+from attestry.llm.maxent import MaxEnt, bounded_sample, fit, hashed
 from attestry.llm.residue import residue_records
 
 #: Bound of the labelled sample: chunks the weights are fitted on.
@@ -160,13 +160,8 @@ def fit_on(pages: list[list[str]]) -> MaxEnt:
 
 def train(chunks: DataFrame, limit: int = TRAINING_CHUNKS) -> MaxEnt:
     """Fit on at most ``limit`` chunks, chosen by a hash of their id."""
-    sample = (
-        chunks.where("chunk_id IS NOT NULL AND size(sentences) > 0")
-        .select("chunk_id", "sentences")
-        .orderBy(F.xxhash64("chunk_id"), "chunk_id")
-        .limit(limit)
-        .collect()
-    )
+    rows = chunks.where("chunk_id IS NOT NULL AND size(sentences) > 0").select("chunk_id", "sentences")
+    sample = bounded_sample(rows, "chunk_id", limit)
     return fit_on([[s or "" for s in row.sentences] for row in sample])
 
 

@@ -6,11 +6,12 @@ tasks. Its weights are one array, sent to the workers with the function.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 SPACE = 1 << 18
 
@@ -65,5 +66,14 @@ def fit(
     return MaxEnt(weights[:SPACE].astype(np.float32))
 
 
-def probability(score: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
+def bounded_sample(rows: DataFrame, id_col: str, limit: int) -> list[Row]:
+    """At most ``limit`` rows on the driver, those whose ids have the smallest hashes.
+
+    Rows that can't be among them, going by the number of rows, are dropped
+    before they are ordered, so that all tasks together send about twice the limit.
+    """
+    n = rows.select(id_col).count()
+    share = min(1.0, 2.0 * limit / n) if n else 1.0
+    place = F.pmod(F.xxhash64(id_col), F.lit(1_000_000))
+    chosen = rows.where(place < F.lit(max(1, round(share * 1_000_000)))) if share < 1 else rows
+    return chosen.orderBy(place, id_col).limit(limit).collect()

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.sources.scratch import materialize
+
 # Notations of unfilled slots in common template languages.
 SLOTS = (
     r"\{\{\{?[^{}\n]{0,80}\}?\}\}",
@@ -170,29 +172,38 @@ def _is_filler(element: Column) -> Column:
     return letters & (n >= 3) & ((known * 10 >= n * 9) | ((n >= 5) & (latin * 10 >= n * 8)))
 
 
-def residue_evidence(chunks: DataFrame) -> DataFrame:
-    """One row for each text: ``chunk_id, source_id, has_slot, has_prompt, has_filler, has_message, n_chars, key, own_terms, weak``."""
+# Cheap signs without which the dearer detectors have nothing to find.
+_SLOT_SIGN = r"[{<$#@~_\[]|%[%sd]|\*\||TODO"
+_PROMPT_WORDS = ("here", "edit", "preview", "heading", "untitled", "description", "add your", "follow", "lorem", "tbd", "tbc", "todo", "fixme")
+_FILLER_SIGN = (
+    r"(?i)\b(?:asdf|qwer|foo bar|blah|xxxx|aaaa|dummy copy|sample text|placeholder|goes here|example words|test test|lorem|ipsum|dolor)\b"
+    r"|[a-z](?:um|em|or|ae|at|et|it|ant|is|us)(?: [a-z]+(?:um|em|or|ae|at|et|it|ant|is|us)){3}"
+)
+
+
+def residue_evidence(chunks: DataFrame, short_chars: int = 300) -> DataFrame:
+    """What speaks for residue in each text.
+
+    ``chunk_id, source_id, alone, open, key``: whether a detector suffices alone,
+    whether host evidence is needed and possible, and the body's key for that.
+    """
     rows = chunks.where("chunk_id IS NOT NULL AND text <> ''").select(
         "chunk_id", "source_id", "text", elements_outside_code(F.col("text"), F.col("sentences")).alias("lines"), "url"
     )
-    body = F.array_join("lines", "\n")
-    message = F.col("body").rlike("(?ium)" + _OPENING + "(?:" + "|".join(MESSAGES) + ")")
-    terms = slug_terms(F.col("url"))
-    return (
-        rows.withColumn("body", body)
-        .select(
-            "chunk_id",
-            "source_id",
-            F.col("body").rlike(_any(SLOTS, "")).alias("has_slot"),
-            F.col("body").rlike(_any(PROMPTS, "(?im)")).alias("has_prompt"),
-            F.exists("lines", _is_filler).alias("has_filler"),
-            message.alias("has_message"),
-            F.length("text").alias("n_chars"),
-            body_key(F.col("text")).alias("key"),
-            F.exists(F.coalesce(terms, F.array()), lambda w: F.lower(F.col("text")).contains(w)).alias("own_terms"),
-            F.col("body").rlike("(?iu)" + WEAK_TERMS).alias("weak"),
-        )
-    )
+    rows = rows.withColumn("body", F.array_join("lines", "\n"))
+    body, low = F.col("body"), F.lower(F.col("body"))
+    prompt_word = F.lit(False)
+    for w in _PROMPT_WORDS:
+        prompt_word = prompt_word | F.contains(low, F.lit(w))
+    short = F.length("text") <= short_chars
+    slot = body.rlike(_SLOT_SIGN) & body.rlike(_any(SLOTS, ""))
+    prompt = prompt_word & body.rlike(_any(PROMPTS, "(?im)"))
+    filler = body.rlike(_FILLER_SIGN) & F.exists("lines", _is_filler)
+    message = short & body.rlike("(?ium)" + _OPENING + "(?:" + "|".join(MESSAGES) + ")")
+    own_terms = F.exists(F.coalesce(slug_terms(F.col("url")), F.array()), lambda w: F.lower(F.col("text")).contains(w))
+    weak = short & body.rlike("(?iu)" + WEAK_TERMS) & ~own_terms
+    found = rows.select("chunk_id", "source_id", "text", (slot | prompt | filler | message).alias("alone"), weak.alias("open"))
+    return found.select("chunk_id", "source_id", "alone", "open", F.when(F.col("open"), body_key(F.col("text"))).alias("key"))
 
 
 def residue_records(chunks: DataFrame, short_chars: int = 300, min_hosts: int = 3) -> DataFrame:
@@ -201,14 +212,11 @@ def residue_records(chunks: DataFrame, short_chars: int = 300, min_hosts: int =
     Null ids, null and empty texts are no cases. ``short_chars`` bounds the
     low-information bodies that messages and host evidence count in.
     """
-    evidence = residue_evidence(chunks)
-    short = F.col("n_chars") <= short_chars
-    alone = F.col("has_slot") | F.col("has_prompt") | F.col("has_filler") | (F.col("has_message") & short)
-    direct = evidence.where(alone).select("chunk_id")
-    open_cases = evidence.where(~alone & short & F.col("weak") & ~F.col("own_terms"))
+    evidence = materialize(residue_evidence(chunks, short_chars).where("alone OR open"), "residue")
+    open_cases = evidence.where("NOT alone AND open")
     shared = (
         open_cases.select("key", "source_id").distinct().groupBy("key").agg(F.count("*").alias("hosts"))
         .where(F.col("hosts") >= min_hosts)
     )
     by_host = open_cases.join(shared, "key", "left_semi").select("chunk_id")
-    return direct.unionByName(by_host).distinct()
+    return evidence.where("alone").select("chunk_id").unionByName(by_host).distinct()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.maxent import MaxEnt, fit, hashed
+from attestry.llm.maxent import MaxEnt, bounded_sample, fit, hashed
 
 #: Bound of the labelled sample: chunks the model is trained on.
 TRAINING_CHUNKS = 8000
@@ -232,13 +232,8 @@ def soft_examples(sentences: list[str]) -> list[tuple[tuple, bool]]:
 
 def train(chunks: DataFrame, limit: int = TRAINING_CHUNKS) -> tuple[MaxEnt, MaxEnt]:
     """Fit both models on at most ``limit`` chunks, chosen by a hash of their id."""
-    sample = (
-        chunks.where("chunk_id IS NOT NULL AND size(sentences) >= 3")
-        .select("chunk_id", "sentences")
-        .orderBy(F.xxhash64("chunk_id"), "chunk_id")
-        .limit(limit)
-        .collect()
-    )
+    rows = chunks.where("chunk_id IS NOT NULL AND size(sentences) >= 3").select("chunk_id", "sentences")
+    sample = bounded_sample(rows, "chunk_id", limit)
     return fit_on([[s or "" for s in row.sentences] for row in sample])
 
 
