@@ -14,6 +14,7 @@ from attestry.functions.text import strip
 
 _TABLE = "(?is)<table\\b.*?</table>"
 _CODE = "(?is)<(?:pre|code)\\b[^>]*>(.*?)</(?:pre|code)>"
+_LEFT, _RIGHT = "\ue001", "\ue002"  # stand in for the angle brackets of links until the tags are gone
 SHELL_TEXT, SHELL_HTML = 200, 5000
 
 
@@ -65,11 +66,12 @@ def _markdown(html: Column) -> Column:
         html = F.regexp_replace(html, f"(?is)<h{level}\\b[^>]*>(.*?)</h{level}>", "\n\n" + "#" * level + " $1\n\n")
     html = F.regexp_replace(html, "(?is)<(?:b|strong)\\b[^>]*>(.*?)</(?:b|strong)>", "**$1**")
     html = F.regexp_replace(html, "(?is)<(?:i|em)\\b[^>]*>(.*?)</(?:i|em)>", "_$1_")
-    html = F.regexp_replace(html, '(?is)<a\\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "[$2](<$1>)")
+    html = F.regexp_replace(html, '(?is)<a\\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', f"[$2]({_LEFT}$1{_RIGHT})")
     html = F.regexp_replace(html, "(?is)<li\\b[^>]*>", "\n  * ")
     html = F.regexp_replace(html, "(?is)<(?:p|div|article|section|ul|ol|body|blockquote)\\b[^>]*>|</(?:p|div|article|section|ul|ol|body|blockquote)>", "\n\n")
     html = F.regexp_replace(html, "(?is)<br\\b[^>]*>", "\n")
-    return F.regexp_replace(html, "(?is)<head\\b.*?</head>|<!--.*?-->|<(?!https?:|/[^>]*>|[^>]*>\\))[a-z/!][^>]*>|</[a-z][^>]*>", "")
+    html = F.regexp_replace(html, "(?is)<head\\b.*?</head>|<!--.*?-->|<[a-z/!][^>]*>", "")
+    return F.translate(html, _LEFT + _RIGHT, "<>")
 
 
 def decode_entities(text: Column) -> Column:
