@@ -238,10 +238,15 @@ def train(chunks: DataFrame, limit: int = TRAINING_CHUNKS) -> tuple[MaxEnt, MaxE
 
 
 def fit_on(arrays: list[list[str]]) -> tuple[MaxEnt, MaxEnt]:
-    """Fit the model of marked and that of unmarked boundaries on the reliable arrays."""
+    """Fit the model of marked and that of unmarked boundaries on the reliable arrays.
+
+    If all lines recur, they are learned from too. Without any reliable array
+    the models know nothing, and only the fixed rules cut a text.
+    """
     seen = Counter(skeleton(s) for a in arrays for s in a if s and not is_line(s))
     recurring = frozenset(k for k, n in seen.items() if n >= _RECURS)
     reliable = [(a, found) for a in arrays if (found := examples(a, recurring))]
+    reliable = reliable or [(a, found) for a in arrays if (found := examples(a))]
 
     def fitted(rows: list[tuple[tuple, bool]]) -> MaxEnt:
         return fit([features(*c) for c, _ in rows], [y for _, y in rows])
