@@ -11,7 +11,7 @@ from attestry.functions.fixed import WS
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(fixed.WS_CHARS))
 
 
 def fingerprint(text: Column) -> Column:
