@@ -39,6 +39,8 @@ _CAP = 6.0  # one line never weighs more than this in the region
 
 _LISTED = re.compile(r"\s*(?:[-*•]|\d{1,3}[.)])\s")
 _FIGURES = re.compile(r"\| *[\d.,]+ *(?:\||$)")
+_GAPS = re.compile(r"\s+[|/>»·•–-]\s+|\s{2,}")
+_NO_ITEM = re.compile(r"[\d.!?。！？।؟:]")
 _TOKEN = re.compile(r"\d[\d.,:]*|[^\W\d_]+|[^\w\s]")
 _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 
@@ -62,6 +64,12 @@ def _tokens(line: str) -> list[str]:
     return out
 
 
+def _is_menu(line: str) -> bool:
+    """Short items without figures between separators or wide gaps."""
+    parts = _GAPS.split(line.strip()) if len(line) <= 160 else ()
+    return len(parts) > 1 and all(0 < len(p) <= 24 and not _NO_ITEM.search(p) for p in parts)
+
+
 def features(line: str) -> list[str]:
     """Words of a line, its first and last ones, and its outer form."""
     raw = _tokens(line)
@@ -73,7 +81,8 @@ def features(line: str) -> list[str]:
     end = line.rstrip()[-1:]
     out = ["b", "end" + (end if not end.isalnum() else "w"), "size" + str(min(12, len(words).bit_length() * 2)),
            "first" + words[0], "first2" + " ".join(names[:2]), "first3" + " ".join(names[:3]),
-           "last" + words[-1], "last2" + " ".join(names[-2:]), "last3" + " ".join(names[-3:])]
+           "last" + words[-1], "last2" + " ".join(names[-2:]), "last3" + " ".join(names[-3:]),
+           "menu" if _is_menu(line) else "text"]
     out += {"w" + w for w in words}
     return out
 
@@ -125,20 +134,20 @@ def label_lines(pages: list[list[str]], scores: list[list[float]] | None = None)
         last, among = (seen["last"] + seen["last edge"]) / n, seen["mid"] / n
         if scores:
             edge = (seen["edge"] + seen["last edge"]) / n
-            return 1 if among >= 0.12 or last < 0.1 else -1 if among <= 0.08 and (whole or edge < 0.5) else 0
+            return 1 if among >= (0.2 if whole else 0.12) or last < 0.1 else -1 if among <= (0.12 if whole else 0.08) and (whole or edge < 0.5) else 0
         return -1 if last >= 0.16 and among <= 0.7 else 1 if last < 0.09 else 0
 
     out: list[tuple[str, bool]] = []
     for page, spot, page_keys in zip(pages, spots, keys, strict=True):
         for i, (line, (whole, begin, end)) in enumerate(zip(page, page_keys, strict=True)):
-            if is_article_line(line):
-                out.append((line, True))
+            if is_article_line(line):  # known by its form, its words needn't be learned
                 continue
             s = side(whole, True)
             if s == 0:
                 sides = {side(begin), side(end)}
                 s = -1 if -1 in sides and 1 not in sides else 1 if 1 in sides and -1 not in sides else 0
-            if s == 0 and len(page) >= 7 and 2 <= i < len(page) - 3 and (not scores or (spot and spot[i] == "mid")):
+            # what doesn't recur and stands in the middle is content
+            if s == 0 and sum(places[whole].values()) < _RECURS and len(page) >= 7 and 2 <= i < len(page) - 3 and (not scores or (spot and spot[i] == "mid")):
                 s = 1
             if s:
                 out.append((line, s > 0))
@@ -226,6 +235,7 @@ class Scorer:
             "b", "end" + (end if not end.isalnum() else "w"), "size" + str(min(12, len(seen).bit_length() * 2)),
             "first" + seen[0][0], "first2" + " ".join(names[:2]), "first3" + " ".join(names[:3]),
             "last" + seen[-1][0], "last2" + " ".join(names[-2:]), "last3" + " ".join(names[-3:]),
+            "menu" if _is_menu(line) else "text",
         )))
 
 

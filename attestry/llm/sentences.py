@@ -41,6 +41,7 @@ _TABLE = re.compile(r"[^|]*\|[^|]*\|")
 _LINE_START = re.compile(r"(?<= )(?:\[CODE\]:|[-*•] |\d{1,2}[.)] (?=[A-Z])|© )")
 #: Fixed value: abbreviations behind which even the plain splitter doesn't cut.
 _PROTECTED = ("Mr", "Mrs", "Dr", "Prof", "Sr", "Jr", "vs", "etc", "e.g", "i.e")
+_SOFT = 2.0  # log-odds from which a text without an array is cut where no mark stands
 _RECURS = 3  # elements of the sample with one skeleton that make it a page line
 _SPAN = 400  # longest quotation or bracket that is believed
 
@@ -95,7 +96,7 @@ def features(prev2: str, prev: str, mark: str, gap: str, nxt: str, nxt2: str) ->
         "b", "m" + mark, "g" + gap + first, "p" + low, "ps" + ps, "pl" + size, "n" + nxt.lower(), "ns" + ns,
         "pn" + low + "|" + first, "psn" + ps + size + "|" + ns + mark, "p2" + prev2.lower() + "|" + ps,
         "p2s" + p2s + "|" + ps + "|" + first, "mn" + mark + "|" + first,
-        "n2" + nxt.lower() + "|" + shape(nxt2),
+        "n2" + nxt.lower() + "|" + shape(nxt2), "nx" + nxt[:2].lower() + gap,
     ]
 
 
@@ -286,7 +287,7 @@ class Splitter:
         quotes = spans_of_quotes(text)
         starts = {m.start() - 1 for m in _LINE_START.finditer(text)}
         ends = set(self._ends(text, quotes, 0)) | {i for i in starts if not _inside(quotes, i)}
-        ends |= {i for i, ctx in soft_contexts(text) if not _inside(quotes, i) and self._score(1, ctx) > 0}
+        ends |= {i for i, ctx in soft_contexts(text) if not _inside(quotes, i) and self._score(1, ctx) > _SOFT}
         return sorted(ends)
 
     def unit_ends(self, text: str, sentences: list[str] | None) -> list[int]:
