@@ -171,7 +171,9 @@ _TABLES = f"""{_HTML}, cut AS (
         FROM pages
     )"""
 
-_GROUPS = f"""{_sentences()}, typed AS (
+def _groups(table: str = "documents") -> str:
+    """CTEs that fold sentences into chunks: ``placed(doc_id, pos, no)`` and ``typed(doc_id, pos, sentence, ...)``."""
+    return f"""{_sentences(table)}, typed AS (
         SELECT doc_id, pos, sentence, length(sentence) - length(replace(sentence, '|', '')) >= 2 AS is_table,
                regexp_matches(sentence, '^{WS}*[-*•·]{WS}') AS is_bullet, count(*) OVER (PARTITION BY doc_id) AS total
         FROM sent
@@ -206,6 +208,34 @@ _GROUPS = f"""{_sentences()}, typed AS (
         SELECT doc_id, step - 1 - unnest(range(1, flushed + 1)), flush_no FROM fold WHERE flushed > 0
     )"""
 
+
+def _page_text(html: str) -> str:
+    """Text of a rendered page: tables, code segments, then the rest as marked text."""
+    rest = f"regexp_replace({_DROPPED.replace('html', html)}, '(?is)<table\\b.*?</table>', '', 'g')"
+    code = "(?is)<(?:pre|code)\\b[^>]*>(.*?)</(?:pre|code)>"
+    segments = f"list_transform(list_filter(list_transform(regexp_extract_all({rest}, '{code}', 1), lambda c: {_strip("regexp_replace(c, '<[^>]*>', '', 'g')")}), lambda c: c <> ''), lambda c: '[CODE]: ' || c)"
+    marked = f"regexp_replace({rest}, '{code}', '', 'g')"
+    steps = [(f"(?is)<h{n}\\b[^>]*>(.*?)</h{n}>", f"chr(10) || chr(10) || '{'#' * n} \\1' || chr(10) || chr(10)") for n in range(1, 7)]
+    steps += [
+        ("(?is)<(?:b|strong)\\b[^>]*>(.*?)</(?:b|strong)>", "'**\\1**'"), ("(?is)<(?:i|em)\\b[^>]*>(.*?)</(?:i|em)>", "'_\\1_'"),
+        ('(?is)<a\\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "'[\\2](' || chr(57345) || '\\1' || chr(57346) || ')'"),
+        ("(?is)<li\\b[^>]*>", "chr(10) || '  * '"),
+        ("(?is)<(?:p|div|article|section|ul|ol|body|blockquote)\\b[^>]*>|</(?:p|div|article|section|ul|ol|body|blockquote)>", "chr(10) || chr(10)"),
+        ("(?is)<br\\b[^>]*>", "chr(10)"), ("(?is)<head\\b.*?</head>|<!--.*?-->|<[a-z/!][^>]*>", "''"),
+    ]
+    for pattern, to in steps:
+        marked = f"regexp_replace({marked}, '{pattern}', {to}, 'g')"
+    marked = f"translate({marked}, chr(57345) || chr(57346), '<>')"
+    text = f"array_to_string(list_concat(ts, {segments}, [{marked}]), chr(10) || chr(10))"
+    for entity, char in fixed.ENTITIES:
+        text = f"replace({text}, '{entity.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return _strip(f"regexp_replace(regexp_replace({text}, '[ \\t]+', ' ', 'g'), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g')")
+
+
+_INDEX = f"""{_TABLES}, texts AS (
+        SELECT doc_id, url, text FROM (SELECT p.doc_id, p.url, {_page_text("p.html")} AS text FROM pages p JOIN cut USING (doc_id)) WHERE text <> ''
+    ), {_groups("texts")}"""
+
 ORACLE_SQL: dict[str, str] = {
     "fingerprint": """
         SELECT doc_id, CASE WHEN length(text) > 0 THEN substr(sha256(text), 1, 12) END AS fingerprint,
@@ -223,10 +253,25 @@ ORACLE_SQL: dict[str, str] = {
                '{fixed.SELECTOR_PREFIX}' || substr(md5(url), 1, 8) || '-' || chunk_index = css_selector AS same
         FROM ({_CHUNKS}) WHERE url IS NOT NULL""",
     "sentence_split": f"WITH {_sentences()} SELECT doc_id, pos, sentence FROM sent",
-    "chunk_documents": f"""WITH RECURSIVE {_GROUPS}
+    "chunk_documents": f"""WITH RECURSIVE {_groups()}
         SELECT doc_id, CAST(no AS INTEGER) AS chunk_index, CAST(count(*) AS INTEGER) AS n_sentences,
                string_agg(sentence, ' ' ORDER BY pos) AS text
         FROM placed JOIN typed USING (doc_id, pos) GROUP BY doc_id, no""",
+    "index_pages": f"""WITH RECURSIVE {_INDEX}
+        SELECT url, substr(md5(url), 1, 8) AS url_hash, substr(sha256(text), 1, 12) AS shi_prefix,
+               CAST(1 + max(no) AS INTEGER) AS total_chunks, CAST(any_value(length(text)) AS INTEGER) AS full_text_length
+        FROM texts JOIN placed USING (doc_id) GROUP BY doc_id, url, text""",
+    "index_chunks": f"""WITH RECURSIVE {_INDEX}
+        SELECT substr(md5(url), 1, 8) AS source_id, CAST(no AS INTEGER) AS index, CAST(count(*) AS INTEGER) AS sentence_count,
+               '{fixed.SELECTOR_PREFIX}' || substr(md5(url), 1, 8) || '-' || no AS css_selector,
+               substr(string_agg(sentence, ' ' ORDER BY pos), 1, 200) AS text_preview
+        FROM texts JOIN placed USING (doc_id) JOIN typed USING (doc_id, pos) GROUP BY doc_id, url, no""",
+    "index_quarantine": f"""
+        SELECT url, CASE WHEN url IS NULL THEN 'no address' ELSE 'no text' END AS reason
+        FROM documents WHERE url IS NULL OR text IS NULL OR {_strip('text')} = ''""",
+    "registry_json": """
+        SELECT generated_at, CAST(to_json({'protocol': protocol, 'ssr_entries': ssr_entries, 'rar_entries': rar_entries}) AS VARCHAR) AS json, true AS same
+        FROM registry""",
     "script_pages": f"""WITH {_HTML}
         SELECT doc_id, ({_SIGNS}) OR (regexp_matches(html, '(?is)<body[^>]*>.*?</body>') AND length(html) > 5000 AND
             length({_strip("regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1), '<[^>]+>', '', 'g')")}) < 200) AS needs_scripts
