@@ -55,6 +55,10 @@ PROMPTS = (
     r"^add your (?:description|text|title|content)\b",
     r"copy to follow",
     r"lorem ipsum",
+    r"(?:ihr|dein|euer) (?:text|titel|name) (?:kommt )?hier\b", r"\b(?:hier|beispiel-?|platzhalter)text (?:einfügen|eingeben)\b",
+    r"votre (?:texte|titre|nom) ici\b", r"insérez (?:le|votre) (?:texte|titre)", r"\b(?:su|tu) (?:texto|título|nombre) aquí\b", r"inserte (?:el|su) (?:texto|título)",
+    r"εισάγετε (?:κείμενο|τίτλο)", r"أدخل (?:النص|العنوان) هنا", r"यहाँ (?:पाठ|शीर्षक) (?:लिखें|डालें)", r"ใส่(?:ข้อความ|ชื่อ)ที่นี่",
+    r"(?:在此|此处)(?:输入|填写|插入)", r"ここに(?:テキスト|文章|タイトル)を?(?:入力|挿入)",
 )
 
 # Words of filler text.
@@ -174,7 +178,9 @@ def _is_filler(element: Column) -> Column:
 
 # Cheap signs without which the dearer detectors have nothing to find.
 _SLOT_SIGN = r"[{<$#@~_\[]|%[%sd]|\*\||TODO"
-_PROMPT_WORDS = ("here", "edit", "preview", "heading", "untitled", "description", "add your", "follow", "lorem", "tbd", "tbc", "todo", "fixme")
+_PROMPT_WORDS = (
+    "here", "edit", "preview", "heading", "untitled", "description", "add your", "follow", "lorem", "tbd", "tbc", "todo", "fixme",
+    " hier", "einfügen", "eingeben", " ici", "insérez", "aquí", "inserte", "εισάγετε", "هنا", "यहाँ", "ที่นี่", "在此", "此处", "ここに")
 _FILLER_SIGN = (
     r"(?i)\b(?:asdf|qwer|foo bar|blah|xxxx|aaaa|dummy copy|sample text|placeholder|goes here|example words|test test|lorem|ipsum|dolor)\b"
     r"|[a-z](?:um|em|or|ae|at|et|it|ant|is|us)(?: [a-z]+(?:um|em|or|ae|at|et|it|ant|is|us)){3}"
