@@ -141,10 +141,11 @@ _HTML = f"""
                     THEN '<table><tr><td>' || replace({_esc('l')}, ' | ', '</td><td>') || '</td></tr></table>'
                 WHEN l = '' THEN '' ELSE '<p>' || {_esc('l')} || '</p>' END), chr(10))
             || coalesce('<a href="' || n.url || '/">' || n.url || '</a>', '')
-            || coalesce('<a href="' || h.url || '/">' || h.url || '</a>', '')
+            || coalesce(h.links, '')
             || '<footer><a href="#top">Top</a></footer></body></html>' AS html
         FROM docs d LEFT JOIN docs n ON n.doc_id = d.doc_id + 1
-             LEFT JOIN docs h ON h.doc_id = d.doc_id // 2 AND d.doc_id > 1
+             LEFT JOIN (SELECT doc_id // 2 AS doc_id, string_agg('<a href="' || url || '/">' || url || '</a>', '' ORDER BY doc_id) AS links
+                        FROM docs WHERE doc_id > 1 GROUP BY 1) h ON h.doc_id = d.doc_id
     )"""
 _SIGNS = " OR ".join(f"contains(lower(html), '{s}')" for s in fixed.SCRIPT_SIGNS)
 _HREF = '(?is)<a\\b[^>]*?\\bhref="([^"]*)"'

@@ -53,15 +53,21 @@ def rendered(documents: DataFrame) -> DataFrame:
     docs = documents.where("url IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     ids = docs.select("doc_id", F.col("url").alias("target"))
     following = ids.select((F.col("doc_id") - 1).alias("doc_id"), F.col("target").alias("after"))
-    half = ids.where("doc_id > 0").select(F.explode(F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).alias("doc_id"), F.col("target").alias("parent"))
+    below = (
+        ids.where("doc_id > 1")
+        .groupBy(F.floor(F.col("doc_id") / 2).alias("doc_id"))
+        .agg(F.sort_array(F.collect_list(F.struct("doc_id", "target"))).alias("below"))
+    )
     body = F.array_join(F.transform(F.split("text", "\n"), _line), "\n")
 
-    def link(target: str) -> Column:
-        return F.when(F.col(target).isNotNull(), F.concat(F.lit('<a href="'), F.col(target), F.lit('/">'), F.col(target), F.lit("</a>"))).otherwise("")
+    def link(target: Column) -> Column:
+        return F.concat(F.lit('<a href="'), target, F.lit('/">'), target, F.lit("</a>"))
 
+    after = F.coalesce(link(F.col("after")), F.lit(""))
+    children = F.array_join(F.transform(F.coalesce("below", F.array().cast("array<struct<doc_id:bigint,target:string>>")), lambda x: link(x["target"])), "")
     shell = F.when(F.col("lang").isNull(), '<div id="root"></div>').otherwise("")
     html = F.concat(
         F.lit("<html><head><title>"), F.col("doc_id").cast("string"), F.lit('</title></head><body><nav><a href="/">Home</a> <a href="mailto:desk">Desk</a></nav>'),
-        shell, body, link("after"), link("parent"), F.lit('<footer><a href="#top">Top</a></footer></body></html>'),
+        shell, body, after, children, F.lit('<footer><a href="#top">Top</a></footer></body></html>'),
     )
-    return docs.join(following, "doc_id", "left").join(half, "doc_id", "left").select("doc_id", "url", html.alias("html"))
+    return docs.join(following, "doc_id", "left").join(below, "doc_id", "left").select("doc_id", "url", html.alias("html"))
