@@ -3,18 +3,21 @@
 Each source gets a mean repetition rate from its weight, its size in tokens and
 the size of the mixture. A row's count is the inverse of the Poisson distribution
 at a uniform number hashed from the seed and the row's id, cut at the source's
-cap; the Poisson parameter is chosen so that the mean *after* the cut is the
-wanted rate. Rows are exploded by their count and shuffled globally by a hash.
-
-Only the per-source sums (one row for each source of the weights table) meet in
-one place; the documents are never gathered, and a source's rows never share a
-key in a shuffle.
+cap. The Poisson parameter is the one at which the counts of these very rows, cut
+and weighted by their tokens, reach the wanted size, by a histogram of the tokens
+over the uniform numbers. Rows are exploded by their count and shuffled globally
+by a hash.
+
+Only per-source sums and histograms of a fixed number of bins (one row for each
+source of the weights table) meet in one place; the documents are never gathered,
+and a source's rows never share a key in a shuffle but in partial sums.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,33 +27,39 @@ from attestry.llm.bpe import VOCABULARY, token_counts
 from attestry.sources.scratch import materialize
 
 
+#: Bins of the uniform numbers in which a source's tokens are summed.
+BINS = 4096
+
+
 def source_name(source: Column) -> Column:
     """Names of sources are compared trimmed and in lower case."""
     return F.lower(F.trim(source))
 
 
-def cut_mean(lam: float, cap: int) -> float:
-    """Mean of min(Poisson(lam), cap)."""
-    term, mean, below = math.exp(-lam), 0.0, 0.0
-    for k in range(cap):
-        mean += k * term
-        below += term
-        term *= lam / (k + 1)
-    return mean + cap * (1.0 - below)
+def copies_at(u: np.ndarray, lam: float, cap: int) -> np.ndarray:
+    """Inverse of min(Poisson(lam), cap) at uniform numbers."""
+    return (np.array(_cumulative(lam, cap))[:, None] <= u[None, :]).sum(axis=0)
 
 
-def poisson_parameter(rate: float, cap: int) -> float:
-    """The parameter whose distribution, cut at ``cap``, has the mean ``rate``."""
-    if not rate > 0 or cap < 1:
+def poisson_parameter(wanted: float, cap: int, tokens: np.ndarray) -> float:
+    """The least parameter whose copies of the binned tokens reach the wanted number.
+
+    ``tokens`` are sums over equal bins of the rows' uniform numbers. Infinite if
+    even the cap doesn't exceed what is wanted.
+    """
+    if not wanted > 0 or cap < 1 or not tokens.sum() > 0:
         return 0.0
-    if rate >= cap * (1 - 1e-9):
+    u = (np.arange(len(tokens)) + 0.5) / len(tokens)
+    if wanted >= tokens.sum() * cap * (1 - 1e-9):
         return math.inf
     low, high = 0.0, 1.0
-    while cut_mean(high, cap) < rate and high < 600:
+    while (tokens * copies_at(u, high, cap)).sum() < wanted:
         high *= 2
-    for _ in range(80):
+        if high > 700:
+            return math.inf
+    for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if cut_mean(mid, cap) < rate else (low, mid)
+        low, high = (mid, high) if (tokens * copies_at(u, mid, cap)).sum() < wanted else (low, mid)
     return high
 
 
@@ -67,8 +76,9 @@ def _cumulative(lam: float, cap: int) -> list[float]:
 
 
 @F.pandas_udf(T.DoubleType())
-def _parameter(rate: pd.Series, cap: pd.Series) -> pd.Series:
-    return pd.Series([poisson_parameter(float(r or 0), int(c or 0)) for r, c in zip(rate, cap, strict=True)], dtype=float)
+def _parameter(wanted: pd.Series, cap: pd.Series, tokens: pd.Series) -> pd.Series:
+    rows = zip(wanted, cap, tokens, strict=True)
+    return pd.Series([poisson_parameter(float(w), int(c), np.array(t, float)) for w, c, t in rows], dtype=float)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -82,7 +92,7 @@ def sized_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataF
     return materialize(token_counts(columns, vocabulary), "sized")
 
 
-def mixing_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def mixing_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7) -> DataFrame:
     """One row for each listed source: how often its rows are to be repeated.
 
     ``source, target_weight, max_repeats, n_docs, tokens_in, rate, lam, steps``.
@@ -109,11 +119,21 @@ def mixing_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
         F.col("tokens_in") > 0,
         F.least(F.col("target_weight") * F.col("total") / F.col("tokens_in"), F.col("max_repeats").cast("double")),
     )
+    bins = sized.where("source IS NOT NULL").groupBy("source", F.floor(_uniform(seed, "doc_id") * BINS).cast("int").alias("bin"))
+    histogram = (
+        bins.agg(F.sum("n_tokens").alias("tokens"))
+        .groupBy("source")
+        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "tokens"))).alias("by_bin"))
+    )
+    tokens = F.transform(
+        F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.try_element_at("by_bin", i), F.lit(0)).cast("double")
+    )
     return (
         plan.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
-        .withColumn("lam", _parameter("rate", "max_repeats"))
+        .join(histogram, "source", "left")
+        .withColumn("lam", _parameter(F.col("rate") * F.col("tokens_in"), F.col("max_repeats"), tokens))
         .withColumn("steps", _steps("lam", "max_repeats"))
-        .drop("total")
+        .drop("total", "by_bin")
     )
 
 
@@ -129,7 +149,7 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     source's cap. The output is range-partitioned and sorted by ``shuffle_key``,
     a hash of id and copy, which is the global shuffle.
     """
-    plan = mixing_plan(sized, targets, total_tokens).select("source", "steps")
+    plan = mixing_plan(sized, targets, total_tokens, seed).select("source", "steps")
     u = _uniform(seed, "doc_id")
     counted = sized.join(plan, "source").withColumn("u", u)
     copies = F.size(F.filter("steps", lambda step: step <= F.col("u")))
@@ -158,7 +178,7 @@ def mixture_shares(documents: DataFrame, targets: DataFrame, total_tokens: int |
     Empty and null texts have size 0; they take part but add nothing.
     """
     sized = sized_documents(documents, vocabulary)
-    plan = mixing_plan(sized, targets, total_tokens).drop("lam")
+    plan = mixing_plan(sized, targets, total_tokens, seed).drop("lam")
     copies = F.size(F.filter("steps", lambda step: step <= F.col("u")))
     used = (
         sized.join(plan.select("source", "steps"), "source")
