@@ -11,7 +11,9 @@ from attestry.functions.text import chunk_selector, fingerprint, group_chunks, s
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``url, text`` of ``url, html``; pages without text are left out (see ``quarantine``)."""
-    return pages.select("url", page_text(F.col("html")).alias("text")).where("url IS NOT NULL AND length(text) > 0")
+    # the generator keeps the filter from being pushed below the text, which would compute it twice
+    text = F.filter(F.array(page_text(F.col("html"))), lambda t: F.length(t) > 0)
+    return pages.where("url IS NOT NULL").select("url", F.explode(text).alias("text"))
 
 
 def quarantine(pages: DataFrame) -> DataFrame:

@@ -51,11 +51,12 @@ def verify_claims(texts: DataFrame, sources: DataFrame, chunks: DataFrame) -> Da
     rows = claims_in(texts).join(known, "shi_prefix", "left").join(passages, "css_selector", "left")
     valid = F.coalesce(F.col("passage_prefix") == F.col("shi_prefix"), F.lit(False))
     method = F.when(F.col("source_url").isNotNull(), match_method(F.col("claim_text"), F.col("passage")))
+    rows = rows.withColumn("match_method", method)
     reason = F.when(F.col("source_url").isNull(), "source not found").when(F.col("passage").isNull(), "passage not found")
     return rows.select(
         "text_id", "pos", F.concat(F.lit("C"), F.col("claim_id").cast("string")).alias("claim_id"), "source_url", "claim_text",
-        valid.alias("shi_valid"), method.alias("match_method"),
-        (F.col("source_url").isNotNull() & valid & F.coalesce(method != "none", F.lit(False))).alias("verified"), reason.alias("reason"),
+        valid.alias("shi_valid"), "match_method",
+        (F.col("source_url").isNotNull() & valid & F.coalesce(F.col("match_method") != "none", F.lit(False))).alias("verified"), reason.alias("reason"),
     )
 
 
