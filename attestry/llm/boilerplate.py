@@ -101,9 +101,13 @@ def _place_in_chunk(n: int, i: int) -> str:
     return "last" if i == n - 1 else "top" if i == 0 else "mid"
 
 
-def label_lines(pages: list[list[str]], scores: list[list[float]] | None = None) -> list[tuple[str, bool]]:
+def label_lines(
+    pages: list[list[str]], keys: list[list[tuple[str, str, str]]], scores: list[list[float]] | None = None
+) -> list[tuple[str, bool]]:
     """Lines labelled as content (True) or page (False); unclear lines are left out.
 
+    ``keys`` are the forms of the lines.
+
     Of a form's lines the shares on top, in the middle and at the end decide;
     with ``scores`` that is before, among and after the lines sure of being content.
     """
@@ -120,7 +124,6 @@ def label_lines(pages: list[list[str]], scores: list[list[float]] | None = None)
         else:
             spots.append([_place_in_chunk(len(page), i) for i in range(len(page))])
     places: dict[str, Counter] = defaultdict(Counter)
-    keys = [[forms(line) for line in page] for page in pages]
     for spot, page_keys in zip(spots, keys, strict=True):
         for where, line_keys in zip(spot, page_keys):
             for key in set(line_keys):
@@ -162,9 +165,10 @@ def _fit(rows: list[tuple[str, bool]]) -> MaxEnt:
 
 def fit_on(pages: list[list[str]]) -> MaxEnt:
     """Weights from pages that label themselves; positive for content."""
-    first = Scorer(_fit(label_lines(pages)).table())
+    keys = [[forms(line) for line in page] for page in pages]
+    first = Scorer(_fit(label_lines(pages, keys)).table())
     scores = [[first(line) for line in page] for page in pages]
-    return _fit(label_lines(pages, scores))
+    return _fit(label_lines(pages, keys, scores))
 
 
 def train(chunks: DataFrame, limit: int = TRAINING_CHUNKS) -> MaxEnt:
