@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from attestry.functions import fixed
 from attestry.functions.markers import parse_claim_markers, parse_relation_markers
-from attestry.functions.match import claim_text, match_method
+from attestry.functions.match import claim_text
+from attestry.functions.text import url_hash
+from attestry.operators import whole
+from attestry.sources.scratch import materialize
 
 
 def claims_in(texts: DataFrame) -> DataFrame:
@@ -34,29 +37,33 @@ def verify_claims(texts: DataFrame, sources: DataFrame, chunks: DataFrame) -> Da
 
     ``text_id, pos, claim_id ("C<n>"), source_url, claim_text, shi_valid,
     match_method, verified, reason``. A claim is verified if a source carries its
-    fingerprint, the passage its selector names still has that fingerprint, and
-    the claim occurs in the passage (``exact`` or ``fuzzy``). The snapshot of a
-    source is its chunks, so the named passage is compared, which keeps the work
-    of a claim the same however long its source is. Missing sources and passages
-    make unverified rows with a reason; claims of a text never overwrite those of
-    another.
+    fingerprint, the snapshot of that source still has it, and the claim occurs
+    anywhere in the snapshot (``exact`` or ``fuzzy``). The snapshot of a source is
+    all its chunks, whichever of them the selector names; where chunks name no
+    source, those of one fingerprint are one. Missing sources, and selectors of
+    unverified claims that name no passage, give a reason; claims of a text never
+    overwrite those of another.
     """
     known = sources.where("shi_prefix IS NOT NULL").groupBy("shi_prefix").agg(F.min("url").alias("source_url"))
-    passages = (
-        chunks.where("css_selector IS NOT NULL")
-        .groupBy("css_selector")
-        .agg(F.max(F.struct(F.coalesce("shi_prefix", F.lit("")).alias("p"), "text")).alias("passage"))
-        .select("css_selector", F.col("passage.text").alias("passage"), F.col("passage.p").alias("passage_prefix"))
-    )
-    rows = claims_in(texts).join(known, "shi_prefix", "left").join(passages, "css_selector", "left")
-    valid = F.coalesce(F.col("passage_prefix") == F.col("shi_prefix"), F.lit(False))
-    method = F.when(F.col("source_url").isNotNull(), match_method(F.col("claim_text"), F.col("passage")))
-    rows = rows.withColumn("match_method", method)
-    reason = F.when(F.col("source_url").isNull(), "source not found").when(F.col("passage").isNull(), "passage not found")
+    by_source = "source_id" in chunks.columns
+    known = known.withColumn("key", url_hash(F.col("source_url")) if by_source else F.col("shi_prefix"))
+    in_selector = F.regexp_extract(F.coalesce("css_selector", F.lit("")), "([0-9]+)$", 1).try_cast("bigint")
+    at = F.coalesce(F.col("chunk_index").cast("bigint"), in_selector) if "chunk_index" in chunks.columns else in_selector
+    stored = chunks.select(F.col("source_id" if by_source else "shi_prefix").alias("key"), F.coalesce(at, F.lit(-1)).alias("at"), "text", "css_selector", "shi_prefix")
+    passages = stored.where("key IS NOT NULL AND text IS NOT NULL").select("key", "at", "text")
+    snapshots = stored.where("key IS NOT NULL").groupBy("key").agg(F.min("shi_prefix").alias("least"), F.max("shi_prefix").alias("most"))
+    named = stored.where("css_selector IS NOT NULL AND text IS NOT NULL").select("css_selector", F.lit(True).alias("named")).distinct()
+
+    found = materialize(claims_in(texts).join(known, "shi_prefix", "left").withColumn("id", F.md5("claim_text")), "claims")
+    methods = whole.methods(found.select("key", F.col("claim_text").alias("claim")), passages)
+    rows = found.join(methods, ["key", "id"], "left").join(snapshots, "key", "left").join(named, "css_selector", "left")
+    valid = F.coalesce((F.col("least") == F.col("shi_prefix")) & (F.col("most") == F.col("shi_prefix")), F.lit(False))
+    verified = F.col("source_url").isNotNull() & valid & F.col("method").isNotNull()
+    reason = F.when(F.col("source_url").isNull(), "source not found").when(~verified & F.col("named").isNull(), "passage not found")
     return rows.select(
         "text_id", "pos", F.concat(F.lit("C"), F.col("claim_id").cast("string")).alias("claim_id"), "source_url", "claim_text",
-        valid.alias("shi_valid"), "match_method",
-        (F.col("source_url").isNotNull() & valid & F.coalesce(F.col("match_method") != "none", F.lit(False))).alias("verified"), reason.alias("reason"),
+        valid.alias("shi_valid"), F.when(F.col("source_url").isNotNull(), F.coalesce("method", F.lit("none"))).alias("match_method"),
+        verified.alias("verified"), reason.alias("reason"),
     )
 
 

@@ -337,3 +337,22 @@ def test_streaming_index(spark, tmp_path):
     assert sources.count() == 3 and {r.text for r in chunks.collect()} == {"Changed.", "Other."}
     claims = spark.createDataFrame([(datetime(2030, 1, 1, 0, m), m % 2 == 0) for m in range(9)], "created_at timestamp, verified boolean")
     assert [(r.passed, r.failed) for r in incremental.claim_rate(claims).orderBy("start").collect()] == [(3, 2), (2, 2)]
+
+
+def test_claims_are_compared_with_the_whole_source(spark):
+    url = "https://a.example/1"
+    key = spark.range(1).select(text.url_hash(F.lit(url))).first()[0]
+    long = " ".join(f"Filler {w} sentence." for w in "abcdefghij" * 200)
+    said = ["The dam opened late.", "窯は古い。と", "Kiln gauge dam rows reach.", "Nothing of this zebra.", "Weir at 4711 it is.", "Mill sluice pond near gate quite old here.", "川は深い"]
+    texts = spark.createDataFrame([(f"t{i}", f"{c} [C1:aaaaaaaaaaaa:css=#x-0]") for i, c in enumerate(said)], "text_id string, text string")
+    sources = spark.createDataFrame([(url, key, "aaaaaaaaaaaa")], "url string, url_hash string, shi_prefix string")
+    parts = ["Start.", long, "So the dam opened late.", "古い窯。窯は古い。", "と言った。", "Kiln rows.", "Gauge: reach!", "Item 994711.", "x y\nmill sluice pond near gate old\nz", long, "川は", "深い"]
+    rows = [(key, 2 * i, f"#x-{i}", "aaaaaaaaaaaa" if i else None, p) for i, p in enumerate(parts)]
+    chunks = spark.createDataFrame([*rows, *rows[:3], (key, 99, "#x-99", "aaaaaaaaaaaa", None)], "source_id string, chunk_index int, css_selector string, shi_prefix string, text string")
+    got = {r.text_id: (r.match_method, r.verified) for r in verify.verify_claims(texts, sources, chunks).collect()}
+    want = ["exact", "none", "fuzzy", "none", "fuzzy", "fuzzy", "none"]
+    assert got == {f"t{i}": (m, m != "none") for i, m in enumerate(want)}
+    spread = spark.createDataFrame([(f"t{i}", f"{c} [C1:aaaaaaaaaaaa:css=#x-0]") for i, c in enumerate(["川は 深い", "古い。 と言"])], "text_id string, text string")
+    assert [r.match_method for r in verify.verify_claims(spread, sources, chunks).collect()] == ["exact", "exact"]
+    stale = chunks.unionByName(chunks.limit(1).withColumn("shi_prefix", F.lit("bbbbbbbbbbbb")))
+    assert not any(r.verified or r.shi_valid for r in verify.verify_claims(texts, sources, stale).collect())
