@@ -181,10 +181,15 @@ _SLOT_SIGN = r"[{<$#@~_\[]|%[%sd]|\*\||TODO"
 _PROMPT_WORDS = (
     "here", "edit", "preview", "heading", "untitled", "description", "add your", "follow", "lorem", "tbd", "tbc", "todo", "fixme",
     " hier", "einfügen", "eingeben", " ici", "insérez", "aquí", "inserte", "εισάγετε", "هنا", "यहाँ", "ที่นี่", "在此", "此处", "ここに")
-_FILLER_SIGN = (
-    r"(?i)\b(?:asdf|qwer|foo bar|blah|xxxx|aaaa|dummy copy|sample text|placeholder|goes here|example words|test test|lorem|ipsum|dolor)\b"
-    r"|[a-z](?:um|em|or|ae|at|et|it|ant|is|us)(?: [a-z]+(?:um|em|or|ae|at|et|it|ant|is|us)){3}"
-)
+
+
+def _run(word: str, n: int) -> str:
+    return rf"(?<![a-z0-9])(?:{word})(?:[^a-z0-9]+(?:{word})){{{n - 1}}}(?![a-z0-9])"
+
+
+# What every element that _is_filler takes contains, in lower case: at nine known words in ten of three or more, three stand
+# in a row, and at eight pseudo-Latin words in ten of five or more, two do.
+_FILLER_SIGN = _run("|".join(FILLER), 3) + "|" + _run(PSEUDO_LATIN, 2)
 
 
 def residue_evidence(chunks: DataFrame, short_chars: int = 300) -> DataFrame:
@@ -204,7 +209,7 @@ def residue_evidence(chunks: DataFrame, short_chars: int = 300) -> DataFrame:
     short = F.length("text") <= short_chars
     slot = body.rlike(_SLOT_SIGN) & body.rlike(_any(SLOTS, ""))
     prompt = prompt_word & body.rlike(_any(PROMPTS, "(?im)"))
-    filler = body.rlike(_FILLER_SIGN) & F.exists("lines", _is_filler)
+    filler = low.rlike(_FILLER_SIGN) & F.exists("lines", lambda s: F.lower(s).rlike(_FILLER_SIGN) & _is_filler(s))
     message = short & body.rlike("(?ium)" + _OPENING + "(?:" + "|".join(MESSAGES) + ")")
     own_terms = F.exists(F.coalesce(slug_terms(F.col("url")), F.array()), lambda w: F.lower(F.col("text")).contains(w))
     weak = short & body.rlike("(?iu)" + WEAK_TERMS) & ~own_terms

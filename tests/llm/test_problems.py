@@ -140,6 +140,20 @@ def test_residue(spark):
     assert residue.residue_records(df.limit(0)).count() == 0
 
 
+def test_every_filler_reaches_its_detector(spark):
+    rng = random.Random(11)
+    fill = ["test 123 test 123", "xxx xx xxx", "bbbb cccc dddd", "bar baz qux", "Dicunt, legam; sunt, veniam - ponunt.", "Bellum regunt, Marcus, quaerunt, villam"]
+    latin = ["dicunt", "legam", "rosae", "caput", "sint", "illis"]
+    for _ in range(300):
+        n, known = rng.randrange(3, 25), rng.choice([residue.FILLER, latin])
+        body = [rng.choice(["quay", "ridge"]) if rng.random() < 0.15 else rng.choice(known) for _ in range(n)]
+        fill.append("".join(w + rng.choice([" ", ", ", " - "]) for w in body).strip())
+    df = spark.createDataFrame([(i, "s", t, [t], None) for i, t in enumerate(fill)], "chunk_id long, source_id string, text string, sentences array<string>, url string")
+    taken = {r[0] for r in df.where(residue._is_filler(F.col("text"))).select("chunk_id").collect()}
+    got = {r[0] for r in residue.residue_records(df).collect()}
+    assert set(range(6)) <= taken <= got and len(taken) > 100
+
+
 # --- problem 4 ---------------------------------------------------------------
 
 
