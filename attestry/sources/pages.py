@@ -41,7 +41,7 @@ def _escaped(s: Column) -> Column:
 def _line(s: Column) -> Column:
     cells = F.replace(_escaped(s), F.lit(" | "), F.lit("</td><td>"))
     return (
-        F.when(s.startswith("[CODE]: "), F.concat(F.lit("<pre>"), _escaped(F.substring(s, 9, 1_000_000)), F.lit("</pre>")))
+        F.when(s.startswith("[CODE]: "), F.concat(F.lit("<pre>"), _escaped(s.substr(F.lit(9), F.length(s))), F.lit("</pre>")))
         .when(pipes(s) >= 2, F.concat(F.lit("<table><tr><td>"), cells, F.lit("</td></tr></table>")))
         .when(s == "", F.lit(""))
         .otherwise(F.concat(F.lit("<p>"), _escaped(s), F.lit("</p>")))

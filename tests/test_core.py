@@ -314,6 +314,13 @@ def test_index_is_idempotent_and_keeps_sentences(spark):
     assert tuple(summed.first()) == (1, 1, 0) and after.sources.count() == 1
 
 
+def test_long_code_lines_are_rendered_whole(spark):
+    docs = spark.createDataFrame([(1, "https://a.example/1")], "doc_id long, url string").select(
+        "doc_id", "url", F.concat(F.lit("[CODE]: "), F.repeat(F.lit("x"), 1_000_100), F.lit(" end")).alias("text"), F.lit("en").alias("lang"))
+    html = pages.rendered(docs).select(F.regexp_extract("html", "<pre>([^<]*)</pre>", 1).alias("code"))
+    assert html.select(F.length("code"), F.endswith("code", F.lit(" end"))).first() == (1_000_104, True)
+
+
 def test_fetch_errors_become_rows(spark):
     def fetch(url):
         if "bad" in url:
