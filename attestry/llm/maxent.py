@@ -39,31 +39,27 @@ def fit(
     rows: Sequence[Sequence[str]], labels: Sequence[bool], epochs: int = 6, rate: float = 0.3, penalty: float = 1e-6
 ) -> MaxEnt:
     """AdaGrad on the logistic loss; the order of rows is fixed, so is the result."""
-    weights = np.zeros(SPACE + 1)
+    weights, seen = np.zeros(SPACE), np.full(SPACE, 1e-2)
     if not rows:
-        return MaxEnt(weights[:SPACE].astype(np.float32))
-    width = max(map(len, rows))
-    index = np.full((len(rows), width), SPACE, np.int64)
-    for i, r in enumerate(rows):
-        index[i, : len(r)] = hashed(r)
+        return MaxEnt(weights.astype(np.float32))
+    known: dict[str, int] = {}
+    parts = [np.array([known[f] if f in known else known.setdefault(f, hashed((f,))[0]) for f in r], np.int64) for r in rows]
     target = np.asarray(labels, float)
-    seen = np.full(SPACE + 1, 1e-2)
     order = np.random.default_rng(0).permutation(len(rows))
     batch = max(16, min(256, len(rows) // 40))
     for _ in range(epochs):
         for start in range(0, len(rows), batch):
             part = order[start : start + batch]
-            at = index[part]
-            z = np.clip(weights[at].sum(axis=1), -30, 30)
+            sizes = np.array([len(parts[i]) for i in part])
+            flat = np.concatenate([parts[i] for i in part])
+            row = np.repeat(np.arange(len(part)), sizes)
+            z = np.clip(np.bincount(row, weights[flat], len(part)), -30, 30)
             error = 1 / (1 + np.exp(-z)) - target[part]
-            flat = at.ravel()
-            step = np.zeros(0)
             used, inverse = np.unique(flat, return_inverse=True)
-            step = np.bincount(inverse, np.repeat(error, width)) / len(part) + penalty * weights[used]
+            step = np.bincount(inverse, error[row]) / len(part) + penalty * weights[used]
             seen[used] += step**2
             weights[used] -= rate * step / np.sqrt(seen[used])
-            weights[SPACE] = 0
-    return MaxEnt(weights[:SPACE].astype(np.float32))
+    return MaxEnt(weights.astype(np.float32))
 
 
 def bounded_sample(rows: DataFrame, id_col: str, limit: int) -> list[Row]:

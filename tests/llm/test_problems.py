@@ -133,13 +133,63 @@ def test_residue(spark):
     ]
     data = [(i, f"s{i}", t, [t], "https://a.example/mill/x-1") for i, t in enumerate(cases + fine)]
     data += [(90, "s", None, None, None), (91, "s", "", [], None), (0, "s0", cases[0], [cases[0]], None)]
-    data += [(100 + i, f"h{i}", f"Script gate number {i} for host{i}.example", None, "https://h.example/a") for i in range(4)]
+    data += [(100 + i, f"h{i}", f"Script gate number {i} for host{i}.example", None, f"https://host{i}.example/a") for i in range(4)]
     df = spark.createDataFrame(data, "chunk_id long, source_id string, text string, sentences array<string>, url string")
     got = {r[0] for r in residue.residue_records(df).collect()}
     assert got == set(range(len(cases))) | {100, 101, 102, 103}
     assert residue.residue_records(df.limit(0)).count() == 0
 
 
+RESPONSES = {  # in languages and words that no labelled line has
+    "fi": ["Sivua ei löytynyt", "Istuntosi on vanhentunut, kirjaudu uudelleen.", "Ota selaimen komentosarjat käyttöön."],
+    "hu": ["A keresett oldal nem található.", "Hozzáférés megtagadva", "Az oldal karbantartás alatt áll."],
+    "cs": ["Stránka nebyla nalezena", "Přístup byl odepřen", "Zapněte si prosím podporu skriptů."],
+    "uk": ["Сторінку не знайдено", "Увімкніть підтримку сценаріїв", "Триває обслуговування"],
+    "he": ["הדף לא נמצא", "הגישה נדחתה"],
+    "ta": ["பக்கம் கிடைக்கவில்லை", "அணுகல் மறுக்கப்பட்டது"],
+    "en": ["Whoops, nothing lives here", "Hold tight while we look at your visit", "This gate opens for people only, tick the box"],
+}
+
+
+def test_responses_by_their_hosts(spark):
+    rng = random.Random(12)
+    texts = [x for group in RESPONSES.values() for x in group]
+    data = [(i * 10 + k, f"r{i}-{k}", f"{t} {rng.randrange(999)}", None, f"https://www.r{i}x{k}.example/{rng.choice(WORDS)}/p-{k}") for i, t in enumerate(texts) for k in range(4)]
+    for i in range(300):
+        page, _ = make_page(rng)
+        data.append((1000 + i, f"a{i % 50}", " ".join(page), page, f"https://a{i % 50}.example/{rng.choice(WORDS)}/{i}"))
+    # short bodies of one host, on their slug's subject, or said once are content
+    data += [(5000 + i, "one", "Notes on the larch", ["Notes on the larch"], f"https://one.example/p/{i}") for i in range(6)]
+    data += [(5100 + i, f"t{i}", "The weir opened", ["The weir opened"], f"https://t{i}.example/weir/{i}") for i in range(2)]
+    df = spark.createDataFrame(data, "chunk_id long, source_id string, text string, sentences array<string>, url string")
+    got = {r[0] for r in residue.residue_records(df).collect()}
+    want = {r[0] for r in data if r[0] < 1000}
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_responses_of_any_length(spark):
+    long_page = "Error 503: Service temporarily unavailable. " + "The server cannot answer your request right now, please try again later. " * 6
+    found = ["504 Gateway Timeout", "Pagina non trovata", "Страница не найдена", "Pagina niet gevonden", "This page could not be found", "Your session has ended, sign in again",
+             "Please allow scripts to use this page.", "Hello %NAME%, welcome", "Hello [[first_name]], welcome", "Hello {first name}, welcome", long_page]
+    fine = ["Access denied was the phrase of the day at the council, wrote the old mill keeper after the meeting in the yard of 1950.",
+            "A page not found in the register of 1874 was shown to visitors of the harbour museum by the teacher who kept it in her house.",
+            "The gateway of the old harbour failed in spring, and the crew of the valve works repaired it overnight."]
+    data = [(i, "s", t, [t], None) for i, t in enumerate(found + fine)] + [(50, "s", " ".join([*fine, long_page]), [*fine, long_page], None)]
+    df = spark.createDataFrame(data, "chunk_id long, source_id string, text string, sentences array<string>, url string")
+    assert {r[0] for r in residue.residue_records(df).collect()} == set(range(len(found))) | {50}
+
+
+def test_signs_are_implied_by_their_detectors(spark):
+    rng = random.Random(13)
+    alphabet = list("{}<>$#@~_[]%|!*- aAbN_1sd.") + ["{{", "}}", "<%", "%>", "%s", "*|", "|*", "TODO_A", "<!--", "-->", "here", "goes here", "click to edit", "lorem ipsum", "TBD", "Heading 1", "\n", "ここに"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    slot, prompt = F.col("t").rlike(residue._any(residue.SLOTS, "")), F.col("t").rlike(residue._any(residue.PROMPTS, "(?im)"))
+    word = F.exists(F.array(*map(F.lit, residue._PROMPT_WORDS)), lambda w: F.contains(F.lower("t"), w))
+    assert df.where(slot).count() > 100 and df.where(prompt).count() > 100
+    assert df.where((slot & ~F.col("t").rlike(residue._SLOT_SIGN)) | (prompt & ~word)).count() == 0
+
+
 def test_every_filler_reaches_its_detector(spark):
     rng = random.Random(11)
     fill = ["test 123 test 123", "xxx xx xxx", "bbbb cccc dddd", "bar baz qux", "Dicunt, legam; sunt, veniam - ponunt.", "Bellum regunt, Marcus, quaerunt, villam"]
