@@ -333,7 +333,7 @@ def _masked(body: Column) -> Column:
 
 
 def body_keys(body: Column) -> Column:
-    """Hashes under which a body recurs: whole, and by halves of three words or more.
+    """Hashes under which a body recurs: whole, and by halves of four words or more.
 
     Case, figures, addresses and paths are masked. Two bodies that differ in one
     word or name share a half.
@@ -345,14 +345,15 @@ def body_keys(body: Column) -> Column:
         F.xxhash64(F.lit(1), F.array_join(F.slice(words, 1, half), " ")),
         F.xxhash64(F.lit(2), F.array_join(F.slice(words, half + 1, F.greatest(n - half, F.lit(0))), " ")),
     )
-    return F.when(n >= 6, F.concat(parts, halves)).otherwise(parts)
+    return F.when(n >= 8, F.concat(parts, halves)).otherwise(parts)
 
 
 def is_low(lines: Column, low_words: int) -> Column:
-    """Whether a body has little to say: few words, in scripts without spaces few characters, by any cut into elements."""
+    """Whether a body has fewer than ``low_words`` words, two characters counting as one in scripts without spaces."""
     body = F.array_join(lines, " ")
     gaps = F.length(body) - F.length(F.translate(body, " ", ""))
-    return (gaps < low_words) & (F.length(body) < low_words * 10)
+    dense = F.regexp_count(body, F.lit("[\\u0e00-\\u0e7f\\u3040-\\u30ff\\u3400-\\u9fff]"))
+    return (gaps < low_words) & (gaps + dense / 2 < low_words)
 
 
 def _is_filler(element: Column) -> Column:
