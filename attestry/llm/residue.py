@@ -303,6 +303,9 @@ _CODE = r"\[CODE\]:"
 _TOKEN = re.compile(r"\d+|[฀-๿]+|[぀-ヿ㐀-鿿]+|[ऀ-ॿ]+|[^\W\d_]+")
 _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 _MASKED = re.compile(r"[A-Za-z0-9_-]*(?:[./_@][A-Za-z0-9-]+)+/?")
+_FILLER = frozenset(FILLER)
+_LATIN_WORD = re.compile(PSEUDO_LATIN)
+_LATIN = 1 << 24
 _SEED_COPIES = 3
 _SURE_SEED = 10.0  # log-odds by the seeds alone from which a line of a fuller page is no negative example
 
@@ -356,43 +359,43 @@ def is_low(lines: Column, low_words: int) -> Column:
     return (gaps < low_words) & (gaps + dense / 2 < low_words)
 
 
-def _is_filler(element: Column) -> Column:
-    """Whether nearly all words of an element are filler words or pseudo-Latin."""
-    words = F.filter(F.split(F.lower(element), r"[^a-z0-9]+"), lambda w: F.length(w) > 0)
-    n = F.size(words)
-    known = F.size(F.filter(words, lambda w: w.isin(FILLER)))
-    latin = F.size(F.filter(words, lambda w: w.rlike("^" + PSEUDO_LATIN + "$")))
-    letters = F.length(F.regexp_replace(element, r"[^a-zA-Z0-9]", "")) * 2 >= F.length(element)
-    return letters & (n >= 3) & ((known * 10 >= n * 9) | ((n >= 5) & (latin * 10 >= n * 8)))
-
-
 # What every text that matches one of SLOTS, or of PROMPTS, contains (the latter in lower case).
 _SLOT_SIGN = r"[{<$#@~_\[]|%[%sdA-Z]|\*\||TODO"
 _PROMPT_WORDS = (
-    "here", "edit", "preview", "heading", "untitled", "description", "add your", "follow", "lorem", "tbd", "tbc", "todo", "fixme",
+    "goes here", " here", "click to edit", "title for preview", "heading", "untitled", "add your", "copy to follow", "lorem ipsum", "tbd", "tbc", "todo", "fixme",
     " hier", "einfügen", "eingeben", " ici", "insérez", "aquí", "inserte", "εισάγετε", "هنا", "यहाँ", "ที่นี่", "在此", "此处", "ここに")
 
 
-def _run(word: str, n: int) -> str:
-    return rf"(?<![a-z0-9])(?:{word})(?:[^a-z0-9]+(?:{word})){{{n - 1}}}(?![a-z0-9])"
-
-
-# What every element that _is_filler takes contains, in lower case: at nine known words in ten of three or more, three stand
-# in a row, and at eight pseudo-Latin words in ten of five or more, two do.
-_FILLER_SIGN = _run("|".join(FILLER), 3) + "|" + _run(PSEUDO_LATIN, 2)
-
-
 def has_placeholder(lines: Column) -> Column:
-    """Whether the elements hold a template slot, an editor's prompt or filler."""
+    """Whether the elements hold a template slot or an editor's prompt."""
     body = F.array_join(lines, "\n")
     low = F.lower(body)
     prompt_word = F.lit(False)
     for w in _PROMPT_WORDS:
         prompt_word = prompt_word | F.contains(low, F.lit(w))
-    slot = body.rlike(_SLOT_SIGN) & body.rlike(_any(SLOTS, ""))
-    prompt = prompt_word & body.rlike(_any(PROMPTS, "(?im)"))
-    filler = low.rlike(_FILLER_SIGN) & F.exists(lines, lambda s: F.lower(s).rlike(_FILLER_SIGN) & _is_filler(s))
-    return slot | prompt | filler
+    return (body.rlike(_SLOT_SIGN) & body.rlike(_any(SLOTS, ""))) | (prompt_word & body.rlike(_any(PROMPTS, "(?im)")))
+
+
+class _Kinds(dict):
+    """1 for a filler word, ``_LATIN`` for a pseudo-Latin one, their sum for both."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        low = token.lower()
+        kind = self[token] = (low in _FILLER) + (_LATIN if _LATIN_WORD.fullmatch(low) else 0)
+        return kind
+
+
+def is_filler(line: str, tokens: list[str], kinds: _Kinds) -> bool:
+    """Whether nearly all of an element's words and figures, three at least, are filler words, or of five pseudo-Latin."""
+    n = len(tokens)
+    if n < 3:
+        return False
+    latin, known = divmod(sum(map(kinds.__getitem__, tokens)), _LATIN)
+    if known * 10 < n * 9 and (n < 5 or latin * 10 < n * 8):
+        return False
+    return sum(map(len, tokens)) * 2 >= len(line)
 
 
 def terms(line: str) -> list[str]:
@@ -418,7 +421,7 @@ def features(words: list[str]) -> list[str]:
 
 
 class _Words(dict):
-    """Weights of tokens as they stand, by the terms alone."""
+    """Weights of tokens as they stand, by its terms alone."""
 
     def __init__(self, weights: list[float]):
         self.weights = weights
@@ -443,8 +446,8 @@ class Scorer:
         self.words = _Words(words)
         self.bias = words[hashed(("b",))[0]]
 
-    def screen(self, line: str) -> float:
-        return self.bias + sum(map(self.words.__getitem__, _TOKEN.findall(line)))
+    def screen(self, tokens: list[str]) -> float:
+        return self.bias + sum(map(self.words.__getitem__, tokens))
 
     def __call__(self, line: str) -> float:
         return sum(self.weights[i] for i in hashed(features(terms(line))))
@@ -465,21 +468,20 @@ def fit_on(bodies: list[str], lines: list[str]) -> tuple[MaxEnt, MaxEnt]:
 
 def _score_rows(weights: np.ndarray, words: np.ndarray, sure: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights.tolist(), words.tolist())
+        scorer, kinds = Scorer(weights.tolist(), words.tolist()), _Kinds()
 
-        def is_sure(line: str) -> bool:
-            return scorer.screen(line) > 0 and scorer(line) > sure
+        def is_residue(line: str, several: bool) -> bool:
+            tokens = _TOKEN.findall(line)
+            return is_filler(line, tokens, kinds) or (several and scorer.screen(tokens) > 0 and scorer(line) > sure)
 
         for part in parts:
             ids, alone, low, lines = (c.to_pylist() for c in part.columns)
             out: list[tuple] = []
             for i, a, short, ls in zip(ids, alone, low, lines, strict=True):
-                if a:
+                if a or any(is_residue(s, len(ls) > 1 or not short) for s in ls):
                     out.append((i, True, None))
                 elif short and ls:
-                    out.append((i, len(ls) > 1 and any(map(is_sure, ls)), scorer(" ".join(ls))))
-                elif any(map(is_sure, ls)):
-                    out.append((i, True, None))
+                    out.append((i, False, scorer(" ".join(ls))))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.float64()), strict=True)], ["chunk_id", "alone", "body"]
