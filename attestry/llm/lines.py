@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.sources.scratch import materialize
+
 WORD_BITS = 6
 
 
@@ -72,37 +74,30 @@ def source_sizes(chunks: DataFrame) -> DataFrame:
     return words.groupBy("source_id").agg(F.sum(F.bit_count("bits")).alias("n_docs"))
 
 
-def repeated_lines(chunks: DataFrame, min_docs: int = 8, min_percent: int = 5) -> DataFrame:
+def repeated_lines(bitmaps: DataFrame, sizes: DataFrame, min_docs: int = 8, min_percent: int = 5) -> DataFrame:
     """Lines in at least ``min_docs`` documents and ``min_percent`` % of their source.
 
-    Returns ``source_id, key1, key2, n_line, n_docs``. Rows with a null source
-    or document id belong to no source and are left out; null lines are no lines.
+    ``source_id, key1, key2, n_line, n_docs`` from the bitmaps of the lines and the
+    sizes of the sources.
     """
-    counted = (
-        line_bitmaps(line_elements(chunks))
-        .groupBy("source_id", "key1", "key2")
-        .agg(F.sum(F.bit_count("bits")).alias("n_line"))
-        .where(F.col("n_line") >= min_docs)
-    )
-    return counted.join(source_sizes(chunks), "source_id").where(
-        F.col("n_line") * 100 >= F.col("n_docs") * min_percent
-    )
+    counted = bitmaps.groupBy("source_id", "key1", "key2").agg(F.sum(F.bit_count("bits")).alias("n_line")).where(F.col("n_line") >= min_docs)
+    return counted.join(sizes, "source_id").where(F.col("n_line") * 100 >= F.col("n_docs") * min_percent)
 
 
 def repeated_line_elements(chunks: DataFrame, min_docs: int = 8, min_percent: int = 5) -> DataFrame:
     """Occurrences of repeated lines: ``chunk_id, sentence_no``, each once.
 
-    Repeated deliveries of a chunk, ties and extra columns don't change the
-    result; an empty table gives an empty one.
+    Rows with a null source or document id belong to no source and are left out;
+    null lines are no lines. Repeated deliveries of a chunk, ties and extra columns
+    don't change the result; an empty table gives an empty one. The lines are cut
+    and their keys computed once.
     """
-    elements = line_elements(chunks)
-    bitmaps = line_bitmaps(elements).join(
-        repeated_lines(chunks, min_docs, min_percent).select("source_id", "key1", "key2"),
-        ["source_id", "key1", "key2"],
-    )
+    elements = materialize(line_elements(chunks), "lines")
+    bitmaps = materialize(line_bitmaps(elements), "bitmaps")
+    hits = repeated_lines(bitmaps, source_sizes(chunks), min_docs, min_percent).select("source_id", "key1", "key2")
     return (
         elements.withColumn("word", _word(F.col("chunk_id")))
-        .join(bitmaps, ["source_id", "key1", "key2", "word"])
+        .join(bitmaps.join(hits, ["source_id", "key1", "key2"]), ["source_id", "key1", "key2", "word"])
         .where(F.col("bits").bitwiseAND(_bit(F.col("chunk_id"))) != 0)
         .select("chunk_id", F.col("sentence_no").cast("int").alias("sentence_no"))
         .distinct()

@@ -38,7 +38,7 @@ def source_name(source: Column) -> Column:
 
 def copies_at(u: np.ndarray, lam: float, cap: int) -> np.ndarray:
     """Inverse of min(Poisson(lam), cap) at uniform numbers."""
-    return (np.array(_cumulative(lam, cap))[:, None] <= u[None, :]).sum(axis=0)
+    return np.searchsorted(np.array(_cumulative(lam, cap)), u, side="right")
 
 
 def poisson_parameter(wanted: float, cap: int, tokens: np.ndarray) -> float:
@@ -55,8 +55,6 @@ def poisson_parameter(wanted: float, cap: int, tokens: np.ndarray) -> float:
     low, high = 0.0, 1.0
     while (tokens * copies_at(u, high, cap)).sum() < wanted:
         high *= 2
-        if high > 700:
-            return math.inf
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if (tokens * copies_at(u, mid, cap)).sum() < wanted else (low, mid)
@@ -64,15 +62,16 @@ def poisson_parameter(wanted: float, cap: int, tokens: np.ndarray) -> float:
 
 
 def _cumulative(lam: float, cap: int) -> list[float]:
-    """P(count <= k) for k below the cap: as many steps as a row may have copies."""
-    if math.isinf(lam):
+    """P(count <= k) for k below the cap: as many steps as a row may have copies.
+
+    The terms are taken from their logarithms, so that large parameters have them too.
+    """
+    if math.isinf(lam) or cap < 1:
         return [0.0] * cap
-    out, term, total = [], math.exp(-lam), 0.0
-    for k in range(cap):
-        total += term
-        out.append(total)
-        term *= lam / (k + 1)
-    return out
+    if lam <= 0:
+        return [1.0] * cap
+    logs = np.concatenate([[-lam], -lam + np.cumsum(math.log(lam) - np.log(np.arange(1, cap)))])
+    return np.minimum(np.cumsum(np.exp(logs)), 1.0).tolist()
 
 
 @F.pandas_udf(T.DoubleType())

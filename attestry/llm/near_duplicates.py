@@ -9,9 +9,10 @@ so that all coordinates fill, at an expected cost near one hash an element
 instead of one an element and coordinate. Two sets agree in a coordinate with
 probability J, their Jaccard similarity.
 
-``bands`` groups of ``rows`` coordinates are the candidates' keys. With 80 bands
-of 6 a pair at exactly J = 0.7 is missed with probability (1 - 0.7^6)^80 < 5e-5,
-one at 0.75 with 2e-7. Candidates are thinned by 256 one-bit coordinates (a pair
+``bands`` groups of ``rows`` coordinates are the candidates' keys, both chosen from
+the number of records (``banding``): more rows keep chance meetings rare, more
+bands keep the probability of a miss. With 80 bands of 6 a pair at exactly J = 0.7
+is missed with probability (1 - 0.7^6)^80 < 5e-5, one at 0.75 with 2e-7. Candidates are thinned by 256 one-bit coordinates (a pair
 at the threshold is lost with probability below 1e-8) and then verified exactly.
 
 Exact copies are represented by the smallest id before anything is sketched, so
@@ -21,6 +22,7 @@ partners or candidates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,19 @@ from attestry.sources.scratch import materialize
 BROADCAST_ROWS = 200_000
 
 _SIGNS = 4  # 64-bit words of one-bit coordinates
+_BUCKET_ROWS = 500_000  # bucket rows that one task of the join is to read, up to ``_MOST_TASKS``
+_MOST_TASKS = 20_000
+
+
+def banding(n: int, threshold: float, miss: float = 5e-5, chance: float = 1 / 12, records: float = 5e6) -> tuple[int, int]:
+    """Bands and rows for ``n`` records: ``miss`` is the probability of missing a pair at the threshold.
+
+    Six rows up to ``records``, then one more for each ``1 / chance`` times as many,
+    so that texts that agree in a coordinate by ``chance`` meet about as rarely for
+    each record at any size.
+    """
+    rows = 6 + max(0, math.ceil(math.log(max(n, 1) / records) / math.log(1 / chance)))
+    return math.ceil(math.log(miss) / math.log1p(-(threshold**rows))), rows
 
 
 def sketch_batch(texts: list[str], size: int, shingle: int) -> np.ndarray:
@@ -132,13 +147,16 @@ def exact_copies(records: DataFrame) -> DataFrame:
 
 def similar_texts(
     records: DataFrame, threshold: float = 0.7, shingle: int = 5, min_chars: int = 250,
-    bands: int = 80, rows: int = 6,
+    bands: int | None = None, rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of similar representatives ``id_a < id_b`` and the copies they stand for.
 
     ``records`` has ``id BIGINT, text``. Null ids, null texts and texts under
-    ``min_chars`` take no part; an id delivered twice counts once.
+    ``min_chars`` take no part; an id delivered twice counts once. ``bands`` and
+    ``rows`` are those of ``banding`` where they aren't given.
     """
+    chosen = banding(records.count(), threshold)
+    bands, rows = bands or chosen[0], rows or chosen[1]
     texts = records.where(
         F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= max(min_chars, shingle))
     ).select("id", "text")
@@ -156,7 +174,9 @@ def similar_texts(
         ),
         "sketches",
     )
-    bucket = sketches.select("id", F.explode("keys").alias("key"))
+    spark = records.sparkSession
+    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), sketches.count() * bands // _BUCKET_ROWS), _MOST_TASKS)
+    bucket = sketches.select("id", F.explode("keys").alias("key")).repartition(tasks, "key")
     candidates = (
         bucket.withColumnRenamed("id", "id_a")
         .join(bucket.withColumnRenamed("id", "id_b"), "key")

@@ -42,8 +42,8 @@ _LINE_START = re.compile(r"(?<= )(?:\[CODE\]:|[-*•] |\d{1,2}[.)] (?=[A-Z])|©
 #: Fixed value: abbreviations behind which even the plain splitter doesn't cut.
 _PROTECTED = ("Mr", "Mrs", "Dr", "Prof", "Sr", "Jr", "vs", "etc", "e.g", "i.e")
 _SOFT = 2.0  # log-odds from which a text without an array is cut where no mark stands
+_CUT = -5.0  # log-odds above which a cut of the array before anything but a capital stands: plain splitters cut before capitals only
 _RECURS = 3  # elements of the sample with one skeleton that make it a page line
-_SPAN = 400  # longest quotation or bracket that is believed
 
 
 def script(ch: str) -> str:
@@ -107,7 +107,7 @@ def spans_of_quotes(text: str) -> list[tuple[int, int]]:
     for m in re.finditer("[()\\[\\]（）「」『』“”„«»‹›《》\"]", text):
         ch, i = m.group(), m.start()
         for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] == ch and i - stack[depth][1] <= _SPAN:
+            if stack[depth][0] == ch:
                 if ch == '"' and i + 1 < len(text) and text[i - 1 : i].isspace() and not text[i + 1].isspace():
                     continue
                 start = stack[depth][1]
@@ -277,7 +277,7 @@ class Splitter:
         for end, start, mark in marks(element, [(a - shift, b - shift) for a, b in quotes]):
             if not _inside(quotes, end + shift) and self._score(0, context(element, end, start, mark)) > 0:
                 yield end
-        if re.search("[฀-๿]", element) and "  " not in element:
+        if re.search("[฀-๿]", element):
             for m in _THAI_GAP.finditer(element):
                 if not _inside(quotes, m.start() + shift):
                     yield m.start()
@@ -323,17 +323,20 @@ class Splitter:
 
     def _splits(self, text: str, element: str, stop: int, following: str, line: bool, quotes) -> bool:
         """Whether the end of an array element ends a unit."""
-        end = _mark_at_end(element)
-        if line or end is None or not following or not (following[0].isupper() or following[0] in "\"'(“«¿¡"):
+        if line:
             return True
         if _inside(quotes, stop):
             return False
+        end = _mark_at_end(element)
+        if end is None or not following:
+            return True
         joined = element[-120:] + " " + following[:60]
         cut = min(120, len(element))
         start = end[0] - (len(element) - cut)
         if start < 0:
             return True
-        return self._score(0, context(joined, cut, start, end[1])) > 0
+        capital = following[0].isupper() or following[0] in "\"'(“«¿¡"
+        return self._score(0, context(joined, cut, start, end[1])) > (0 if capital else _CUT)
 
 
 def _unit_rows(hard: np.ndarray, soft: np.ndarray):

@@ -56,6 +56,13 @@ def test_similar_pairs_equal_brute_force(spark):
     assert classes[100][0] == 0 and classes[103] == (103, 0) and len(classes) == len(texts)
 
 
+def test_banding_grows_with_the_records():
+    assert near_duplicates.banding(10_000, 0.7) == (80, 6) == near_duplicates.banding(0, 0.7)
+    for n in (10**7, 10**9, 10**11):
+        bands, width = near_duplicates.banding(n, 0.7)
+        assert width > 6 and (1 - 0.7**width) ** bands <= 5e-5
+
+
 def test_sketch_fills_and_estimates():
     a, b = "abcdefghij" * 40 + "klmno pqrst", "abcdefghij" * 40
     s = near_duplicates.sketch_batch([a, b, "abcde"], 480, 5)
@@ -100,6 +107,17 @@ def test_sentence_units_known_answers(splitter):
     assert splitter.unit_ends("古い窯を測定した。「閉まりました。」と言った。", None)[0] == 9
 
 
+def test_long_quotations_are_one_unit(splitter):
+    for n in (4, 40, 400):
+        text = "The keeper read: “" + "The kiln was opened. The net was closed! " * n + "” and left the yard."
+        assert splitter.unit_ends(text, [text]) == [len(text)] and splitter.unit_ends(text, None) == [len(text)]
+        cut = text.split(". ")
+        parts = [x + "." for x in cut[:-1]] + cut[-1:]
+        assert splitter.unit_ends(" ".join(parts), parts) == [len(text)]
+    thai = "ข่าว  วันนี้ ตลาดเปิด แล้ว"
+    assert splitter.unit_ends(thai, [thai]) == [12, 21, 26]
+
+
 def test_units_cover_any_text(splitter):
     rng = random.Random(5)
     for _ in range(200):
@@ -325,6 +343,10 @@ def test_poisson_parameter():
         for rate in (0.2, 0.9, cap * 0.95):
             lam = mixing.poisson_parameter(rate * 4096, cap, even)
             assert cut_mean(lam, cap) == pytest.approx(rate, abs=2e-3)
+    for rate, cap in ((520, 600), (800, 1000), (5000, 6000)):
+        lam = mixing.poisson_parameter(rate * 4096, cap, even)
+        u = (np.arange(4096) + 0.5) / 4096
+        assert lam == pytest.approx(rate, rel=0.01) and mixing.copies_at(u, lam, cap).mean() == pytest.approx(rate, rel=1e-3)
     assert mixing.poisson_parameter(3 * 4096, 3, even) == math.inf and mixing.poisson_parameter(0, 3, even) == 0
     assert mixing.poisson_parameter(5, 3, np.zeros(4096)) == 0
 
