@@ -9,25 +9,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _row_text(fields: list[str], types: dict[str, str]) -> Column:
+    """A text of a whole row, by which rows of one version are ordered."""
+    parts = [F.array_join(c, ",") if types[c].startswith("array<string") else F.col(c).cast("string") for c in fields]
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(p, F.lit("")) for p in parts)))
+
+
 def latest(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """One row for each key: of every other column the latest value that isn't null.
 
     Changes without a version count as older than all others. Changes of one
-    version are ordered by the value itself, so that ties have one result. Rows
-    with a null key are no documents. All states merge in partial aggregates, so
-    a key with many changes is never gathered.
+    version are ordered as whole rows, by the MD5 of their values, so that ties
+    have one result and never mix two rows but for nulls. Rows with a null key are
+    no documents. All states merge in partial aggregates, so a key with many
+    changes is never gathered.
     """
     fields = [c for c in changes.columns if c not in keys]
     present = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    newest = {
-        c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(version).alias("version"), F.col(c).alias("value"))))["value"]
-        for c in fields
-    }
-    return changes.where(present).groupBy(*keys).agg(*(v.alias(c) for c, v in newest.items()))
+    place = F.struct(F.col(version).alias("version"), _row_text([c for c in fields if c != version], dict(changes.dtypes)).alias("row"))
+    ordered = changes.where(present).withColumn("_place", place)
+    newest = {c: F.max(F.when(F.col(c).isNotNull(), F.struct("_place", F.col(c).alias("value"))))["value"] for c in fields}
+    return ordered.groupBy(*keys).agg(*(v.alias(c) for c, v in newest.items()))
 
 
 def once(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,6 +50,11 @@ def lookup(rows: DataFrame, column: str, value: object) -> DataFrame:
     return rows.where(F.col(column) == F.lit(value)).limit(1)
 
 
+def listed(rows: DataFrame, column: str, value: object, order: str) -> DataFrame:
+    """The rows of one text or source in the order of a column; ids as text, so that C10 comes before C2."""
+    return rows.where(F.col(column) == F.lit(value)).orderBy(order)
+
+
 def delete(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows left when those with the given keys are deleted."""
     return rows.join(keys.select(*on).distinct(), on, "left_anti")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from attestry.functions import fixed
 from attestry.functions.markers import parse_claim_markers, parse_relation_markers
-from attestry.functions.match import claim_text
-from attestry.functions.text import url_hash
+from attestry.functions.match import claim_text, match_method
+from attestry.functions.text import fingerprint, url_hash
 from attestry.operators import whole
 from attestry.sources.scratch import materialize
 
@@ -67,6 +67,31 @@ def verify_claims(texts: DataFrame, sources: DataFrame, chunks: DataFrame) -> Da
     )
 
 
+def verify_pages(texts: DataFrame, sources: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Every claim marker judged by the page of its source as fetched now.
+
+    The columns of ``verify_claims``. ``snapshot`` has ``url, text``; of an address
+    fetched several times the least text counts. A claim is verified if a source
+    carries its fingerprint, the fingerprint computed from that source's page is
+    still the same, and the claim occurs in the page's whole text. Only pages of
+    named sources are read on; a page meets its claims in one row each, and is never
+    gathered with others.
+    """
+    known = sources.where("shi_prefix IS NOT NULL").groupBy("shi_prefix").agg(F.min("url").alias("source_url"))
+    found = claims_in(texts).join(known, "shi_prefix", "left")
+    wanted = found.select(F.col("source_url").alias("url")).where("url IS NOT NULL").distinct()
+    pages = snapshot.where("url IS NOT NULL AND text <> ''").join(wanted, "url", "left_semi").groupBy("url").agg(F.min("text").alias("page"))
+    rows = found.join(pages.select(F.col("url").alias("source_url"), "page", fingerprint(F.col("page")).alias("now")), "source_url", "left")
+    valid = F.coalesce(F.col("now") == F.col("shi_prefix"), F.lit(False))
+    method = F.when(F.col("page").isNotNull(), match_method(F.col("claim_text"), F.col("page")))
+    judged = rows.select("text_id", "pos", "claim_id", "source_url", "claim_text", valid.alias("shi_valid"), method.alias("match_method"), F.col("page").isNull().alias("gone"))
+    reason = F.when(F.col("source_url").isNull(), "source not found").when(F.col("gone"), "page not fetched")
+    return judged.select(
+        "text_id", "pos", F.concat(F.lit("C"), F.col("claim_id").cast("string")).alias("claim_id"), "source_url", "claim_text", "shi_valid",
+        "match_method", (F.col("shi_valid") & F.coalesce(F.col("match_method") != "none", F.lit(False))).alias("verified"), reason.alias("reason"),
+    )
+
+
 def verdicts(verified: DataFrame) -> DataFrame:
     """``text_id, total, passed, failed, verified`` of each text with claims."""
     passed = F.count_if("verified")

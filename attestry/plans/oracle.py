@@ -51,20 +51,22 @@ def _sentences(table: str = "documents") -> str:
     )"""
 
 
-def _latest(table: str, keys: list[str], fields: list[str], version: str) -> str:
-    """Field-wise merge of a change log."""
-    values = ", ".join(
-        f"(max({{'v': coalesce({version}, TIMESTAMPTZ '0001-01-01 00:00:00+00'), 'f': {f}}}) FILTER (WHERE {f} IS NOT NULL)).f AS {f}"
-        for f in fields
+def _latest(table: str, keys: list[str], fields: list[str], version: str, lists: tuple[str, ...] = ()) -> str:
+    """Field-wise merge of a change log; rows of one version go by the MD5 of their values."""
+    row = " || chr(31) || ".join(
+        f"coalesce({f'array_to_string({f}, chr(44))' if f in lists else f'CAST({f} AS VARCHAR)'}, '')" for f in fields if f != version
     )
+    values = ", ".join(f"last({f} ORDER BY place, row_text) FILTER (WHERE {f} IS NOT NULL) AS {f}" for f in fields)
     some = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-    return f"SELECT {', '.join(keys)}, {values} FROM {table} WHERE {some} GROUP BY {', '.join(keys)}"
+    return f"""SELECT {', '.join(keys)}, {values} FROM (
+        SELECT *, coalesce({version}, TIMESTAMPTZ '0001-01-01 00:00:00+00') AS place, md5({row}) AS row_text FROM {table}) WHERE {some}
+        GROUP BY {', '.join(keys)}"""
 
 
 _SOURCES = _latest("sources", ["url_hash"], ["url", "shi_prefix", "total_chunks", "full_text_length", "indexed_at"], "indexed_at")
 _CLAIM_FIELDS = ["shi_prefix", "source_url", "css_selector", "claim_text", "verified", "match_method", "reason", "created_at"]
 _CLAIMS = _latest("claims", ["text_id", "claim_id"], _CLAIM_FIELDS, "created_at")
-_RELS = _latest("relationships", ["text_id", "rel_id"], ["rel_type", "claim_ids", "synthesis_text", "created_at"], "created_at")
+_RELS = _latest("relationships", ["text_id", "rel_id"], ["rel_type", "claim_ids", "synthesis_text", "created_at"], "created_at", ("claim_ids",))
 _CHUNKS = "SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL"
 _KEYWORD = "harbour"
 _SCORE = f"coalesce(len(list_filter(sentences, lambda s: contains(lower(s), '{_KEYWORD}'))), 0)"
@@ -103,23 +105,40 @@ _METHOD = f"""CASE
     ELSE 'none' END"""
 
 _VERIFY = f"""{_MARKS}, known AS (
-        SELECT shi_prefix, min(url) AS source_url FROM sources WHERE shi_prefix IS NOT NULL GROUP BY shi_prefix
-    ), passages AS (
-        SELECT css_selector, p.t AS passage, p.p AS passage_prefix FROM (
-            SELECT css_selector, max({{'p': coalesce(shi_prefix, ''), 't': text}}) AS p FROM chunks
-            WHERE css_selector IS NOT NULL GROUP BY css_selector)
-    ), joined AS (
-        SELECT text_id, pos, claim_id, source_url, claim_text, claim_text AS c, passage AS s, passage,
-               coalesce(passage_prefix = f.shi_prefix, false) AS shi_valid
-        FROM found f LEFT JOIN known USING (shi_prefix) LEFT JOIN passages USING (css_selector)
+        SELECT shi_prefix, min(url) AS source_url, substr(md5(min(url)), 1, 8) AS key FROM sources WHERE shi_prefix IS NOT NULL GROUP BY shi_prefix
+    ), asked AS (SELECT DISTINCT key, claim_text AS c FROM found JOIN known USING (shi_prefix) WHERE length(claim_text) > 0
+    ), parts AS (
+        SELECT DISTINCT source_id AS key, chunk_index AS no, text FROM chunks
+        WHERE source_id IN (SELECT key FROM asked) AND text <> ''
+    ), whole AS (
+        SELECT key, string_agg(low, ' ' ORDER BY no, low) AS low FROM (SELECT DISTINCT key, no, lower(text) AS low FROM parts) GROUP BY key
+    ), vocabulary AS (SELECT key, list_distinct(flatten(list(ts))) AS ts FROM (SELECT key, {_tokens("text")} AS ts FROM parts) GROUP BY key
+    ), lines AS (
+        SELECT DISTINCT key, {_tokens("line")} AS ts FROM (SELECT key, unnest(string_split_regex(lower(text), '\\n+')) AS line FROM parts)
+    ), by_line AS (
+        SELECT DISTINCT key, c FROM asked JOIN lines USING (key) WHERE len({_tokens("c")}) > 0 AND
+            CAST(len(list_intersect({_tokens("c")}, ts)) AS DOUBLE) / len(list_distinct(list_concat({_tokens("c")}, ts))) >= 0.6
+    ), by_figure AS (
+        SELECT DISTINCT key, c FROM (SELECT key, c, unnest(regexp_extract_all(c, '\\$?[0-9]+\\.?[0-9]*')) AS v FROM asked)
+        JOIN parts USING (key) WHERE contains(text, v)
+    ), how AS (
+        SELECT a.key, a.c, CASE WHEN contains(w.low, lower(a.c)) THEN 'exact'
+            WHEN len({_tokens("a.c")}) > 0 AND len(list_filter({_tokens("a.c")}, lambda t: NOT list_contains(v.ts, t))) = 0 THEN 'fuzzy'
+            WHEN l.c IS NOT NULL OR f.c IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS method
+        FROM asked a LEFT JOIN whole w USING (key) LEFT JOIN vocabulary v USING (key)
+             LEFT JOIN by_line l ON l.key = a.key AND l.c = a.c LEFT JOIN by_figure f ON f.key = a.key AND f.c = a.c
+    ), snapshots AS (SELECT source_id AS key, list(DISTINCT shi_prefix) FILTER (WHERE shi_prefix IS NOT NULL) AS has FROM chunks GROUP BY source_id
+    ), named AS (SELECT DISTINCT css_selector FROM chunks WHERE css_selector IS NOT NULL AND text IS NOT NULL
     ), judged AS (
-        SELECT text_id, pos, 'C' || claim_id AS claim_id, source_url, claim_text, shi_valid,
-               CASE WHEN source_url IS NOT NULL THEN {_METHOD} END AS match_method,
-               CASE WHEN source_url IS NULL THEN 'source not found' WHEN passage IS NULL THEN 'passage not found' END AS reason
-        FROM joined
+        SELECT text_id, pos, 'C' || claim_id AS claim_id, source_url, claim_text, coalesce(s.has = [f.shi_prefix], false) AS shi_valid,
+               CASE WHEN source_url IS NOT NULL THEN coalesce(h.method, 'none') END AS match_method, n.css_selector IS NOT NULL AS named
+        FROM found f LEFT JOIN known k USING (shi_prefix) LEFT JOIN snapshots s ON s.key = k.key
+             LEFT JOIN how h ON h.key = k.key AND h.c = f.claim_text LEFT JOIN named n ON n.css_selector = f.css_selector
     ), verified AS (
         SELECT text_id, pos, claim_id, source_url, claim_text, shi_valid, match_method,
-               source_url IS NOT NULL AND shi_valid AND coalesce(match_method <> 'none', false) AS verified, reason
+               coalesce(shi_valid AND match_method <> 'none', false) AS verified,
+               CASE WHEN source_url IS NULL THEN 'source not found'
+                    WHEN NOT coalesce(shi_valid AND match_method <> 'none', false) AND NOT named THEN 'passage not found' END AS reason
         FROM judged
     )"""
 
@@ -359,6 +378,29 @@ ORACLE_SQL: dict[str, str] = {
     "verify_summary": f"""WITH {_VERIFY}
         SELECT text_id, count(*) AS total, count(*) FILTER (WHERE verified) AS passed, count(*) FILTER (WHERE NOT verified) AS failed,
                bool_and(verified) AS verified FROM verified GROUP BY text_id""",
+    "verify_pages": f"""
+        WITH docs AS (
+            SELECT DISTINCT ON (doc_id) doc_id, url, text FROM documents WHERE doc_id IS NOT NULL AND url IS NOT NULL AND length(text) > 0
+        ), page AS (SELECT url, min_by(text, doc_id) AS page_text FROM docs GROUP BY url
+        ), cut AS (
+            SELECT doc_id, url, substr(sha256(text), 1, 12) AS own, {_strip("substr(replace(replace(text, '[', ' '), ']', ' '), 1, 160)")} AS head FROM docs
+        ), made AS (
+            SELECT doc_id, url, CASE WHEN doc_id % 7 = 0 THEN substr(sha256(own), 1, 12) ELSE own END AS shi_prefix, doc_id % 7 <> 1 AS known,
+                   CASE doc_id % 3 WHEN 0 THEN array_to_string(list_reverse(string_split_regex(head, '{WS}+')), ' ') WHEN 1 THEN 'quite something else' ELSE head END AS said
+            FROM cut
+        ), claimed AS (
+            SELECT doc_id, shi_prefix, list_extract(string_split_regex(regexp_replace({_strip("said")}, '([.!?]){WS}+', '\\1' || {_CUT}, 'g'), {_CUT}), -1) AS c FROM made
+        ), known AS (SELECT shi_prefix, min(url) AS source_url FROM made WHERE known GROUP BY shi_prefix
+        ), j AS (
+            SELECT 'd' || doc_id AS text_id, shi_prefix, source_url, CASE WHEN length(c) > 0 THEN c ELSE '' END AS c, page_text AS s
+            FROM claimed LEFT JOIN known USING (shi_prefix) LEFT JOIN page ON page.url = source_url
+        )
+        SELECT text_id, 0 AS pos, 'C1' AS claim_id, source_url, c AS claim_text,
+               coalesce(substr(sha256(s), 1, 12) = shi_prefix, false) AS shi_valid,
+               CASE WHEN s IS NOT NULL THEN {_METHOD} END AS match_method,
+               coalesce(substr(sha256(s), 1, 12) = shi_prefix AND {_METHOD} <> 'none', false) AS verified,
+               CASE WHEN source_url IS NULL THEN 'source not found' WHEN s IS NULL THEN 'page not fetched' END AS reason
+        FROM j""",
     "token_overlap": f"""
         WITH l AS ({_CLAIMS}), p AS (SELECT css_selector, max(text) AS passage FROM chunks WHERE chunk_id IS NOT NULL GROUP BY css_selector),
         j AS (SELECT text_id, claim_id, claim_text AS c, passage AS s FROM l JOIN p USING (css_selector) WHERE claim_text IS NOT NULL)
@@ -383,7 +425,7 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY shi_prefix HAVING count(*) > 1""",
     "latest_claims": _CLAIMS,
     "global_claims": "SELECT claim_id, text_id, verified, created_at FROM ("
-    + _latest("claims", ["claim_id"], ["text_id", "verified", "created_at"], "created_at") + ")",
+    + _latest("claims", ["claim_id"], ["text_id", *_CLAIM_FIELDS], "created_at") + ")",
     "latest_relationships": f"""
         SELECT text_id, rel_id, rel_type, array_to_string(claim_ids, ',') AS claim_ids, synthesis_text, created_at FROM ({_RELS})""",
     "relationship_claims": f"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import html, markers, match, text, urls
+from attestry.functions.fixed import WS
 from attestry.operators import catalog, crawl, index, search, verify
 from attestry.plans.oracle import ORACLE_SQL
 from attestry.sources import pages
@@ -214,6 +215,25 @@ def verify_claims(spark: SparkSession, folder: str) -> DataFrame:
     return _verified(spark, folder)
 
 
+@query
+def verify_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims about documents, some changed or unknown by now, against the documents as pages.
+
+    Each document is claimed by its opening, by the same words turned round, or by
+    other words; some markers carry the fingerprint of another text.
+    """
+    docs = read(spark, folder, "documents").where("doc_id IS NOT NULL AND url IS NOT NULL AND text <> ''").dropDuplicates(["doc_id"])
+    i, own = F.col("doc_id"), text.fingerprint(F.col("text"))
+    head = text.strip(F.substring(F.translate("text", "[]", "  "), 1, 160))
+    turned = F.array_join(F.reverse(F.split(head, f"{WS}+")), " ")
+    said = F.when(i % 3 == 0, turned).when(i % 3 == 1, "quite something else").otherwise(head)
+    made = docs.select("doc_id", "url", F.when(i % 7 == 0, text.fingerprint(own)).otherwise(own).alias("shi_prefix"), said.alias("said"))
+    marker = markers.claim_marker(F.lit(1), F.col("shi_prefix"), F.lit("#top"))
+    texts = made.select(F.concat(F.lit("d"), i.cast("string")).alias("text_id"), F.concat("said", F.lit(" "), marker).alias("text"))
+    first = docs.groupBy("url").agg(F.min_by("text", "doc_id").alias("text"))
+    return verify.verify_pages(texts, made.where("doc_id % 7 <> 1"), first)
+
+
 @query
 def verify_summary(spark: SparkSession, folder: str) -> DataFrame:
     return verify.verdicts(_verified(spark, folder))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,17 +13,21 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.
+    """This application's folder in ``spark.checkpoint.dir``.
 
-    Where the cluster names none (a single-machine session, as in tests) a
-    temporary folder takes its place for the life of the application.
+    A session on one machine that names none, as in tests, gets a temporary
+    folder, which goes when Python ends. On a cluster a machine's own folder would
+    be lost with the machine, so that there the setting is needed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.conf.get("spark.app.id", None) or "session"
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/attestry-{app}"
+    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="spark-scratch-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
     return _local[app]
 
 
@@ -32,15 +38,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     outlives any executor. An empty frame keeps its schema.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attestry-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _register_cleanup(spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def _register_cleanup(spark: SparkSession, path: str) -> None:
-    """Let the file system drop the table when the application ends."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop_path.getFileSystem(conf).deleteOnExit(hadoop_path)
