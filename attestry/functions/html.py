@@ -26,7 +26,7 @@ SHELL_TEXT, SHELL_HTML = 200, 5000
 _DROPPED = "|".join(fixed.DROPPED_TAGS)
 _RAW_TAGS = ("script", "style")
 _OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in fixed.ENTITIES) + ");)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
-_HREF = "(?i)(<a\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\\shref\\s*=\\s*)"
+_HREF = r"""(?i)(<a\b(?:\s+(?!href\s*=)|[^>"'\s]++|"[^"]*+"|'[^']*+')*+\s+href\s*=\s*)"""
 
 
 def without_nested(html: str) -> str:
@@ -110,9 +110,12 @@ def table_text(table: Column) -> Column:
 
 
 def tables(html: Column) -> Column:
-    return F.filter(
-        F.transform(F.regexp_extract_all(drop_subtrees(html), F.lit(_TABLE), F.lit(0)), table_text), lambda t: strip(t) != ""
-    )
+    """The tables of a page as text, in order."""
+    return _tables(drop_subtrees(html))
+
+
+def _tables(body: Column) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(body, F.lit(_TABLE), F.lit(0)), table_text), lambda t: strip(t) != "")
 
 
 def _markdown(html: Column) -> Column:
@@ -121,7 +124,7 @@ def _markdown(html: Column) -> Column:
         html = F.regexp_replace(html, f"(?is)<h{level}\\b[^>]*>(.*?)</h{level}>", "\n\n" + "#" * level + " $1\n\n")
     html = F.regexp_replace(html, "(?is)<(?:b|strong)\\b[^>]*>(.*?)</(?:b|strong)>", "**$1**")
     html = F.regexp_replace(html, "(?is)<(?:i|em)\\b[^>]*>(.*?)</(?:i|em)>", "_$1_")
-    html = F.regexp_replace(html, '(?is)<a\\b[^>]*?href\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a>', f"[$2]({_LEFT}$1{_RIGHT})")
+    html = F.regexp_replace(html, "(?s)" + _HREF + '"([^"]*)"[^>]*>(.*?)</a>', f"[$3]({_LEFT}$2{_RIGHT})")
     html = F.regexp_replace(html, "(?is)<li\\b[^>]*>", "\n  * ")
     html = F.regexp_replace(html, "(?is)<(?:p|div|article|section|ul|ol|body|blockquote)\\b[^>]*>|</(?:p|div|article|section|ul|ol|body|blockquote)>", "\n\n")
     html = F.regexp_replace(html, "(?is)<br\\b[^>]*>", "\n")
@@ -148,9 +151,13 @@ def quoted_hrefs(html: Column) -> Column:
     return F.when(html.rlike("(?i)\\shref\\s*=\\s*[^\\s\"]"), bare).otherwise(html)
 
 
-def page_text(html: Column) -> Column:
-    """Tables first, then code segments, then the rest; null for null pages, ``""`` if nothing is left."""
-    body = quoted_hrefs(drop_subtrees(html))
+def page_body(html: Column) -> Column:
+    """What the text of a page is taken from: no dropped subtrees, link targets in double quotes."""
+    return quoted_hrefs(drop_subtrees(html))
+
+
+def body_text(body: Column) -> Column:
+    """Tables first, then code segments, then the rest of a body; ``""`` if nothing is left."""
     rest = F.regexp_replace(body, _TABLE, "")
     code = F.filter(
         F.transform(
@@ -159,16 +166,26 @@ def page_text(html: Column) -> Column:
         lambda c: c != "",
     )
     code = F.transform(code, lambda c: F.concat(F.lit("[CODE]: "), c))
-    parts = F.concat(tables(html), code, F.array(_markdown(F.regexp_replace(rest, _CODE, ""))))
+    parts = F.concat(_tables(body), code, F.array(_markdown(F.regexp_replace(rest, _CODE, ""))))
     text = decode_entities(other_entities(F.array_join(parts, "\n\n")))
-    text = F.regexp_replace(F.regexp_replace(text, "[ \\t]+", " "), "\\n{4,}", "\n\n\n")
-    return F.when(html.isNotNull(), strip(text))
+    return strip(F.regexp_replace(F.regexp_replace(text, "[ \\t]+", " "), "\\n{4,}", "\n\n\n"))
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page; null for null pages."""
+    return body_text(page_body(html))
+
+
+def link_source(html: Column) -> Column:
+    """A page without comments, scripts and styles, link targets in double quotes."""
+    return quoted_hrefs(F.regexp_replace(html, "(?is)<!--.*?-->|<(script|style)\\b[^>]*>.*?</\\1\\s*>", ""))
+
+
+def hrefs(source: Column) -> Column:
+    """Link targets of a ``link_source`` in order, as written."""
+    return F.regexp_extract_all(source, F.lit(_HREF + '"([^"]*)"'), F.lit(2))
 
 
-def hrefs(html: Column) -> Column:
-    """Link targets of a page in order, entities decoded; none of comments, scripts and styles."""
-    seen = quoted_hrefs(F.regexp_replace(html, "(?is)<!--.*?-->|<(script|style)\\b[^>]*>.*?</\\1\\s*>", ""))
-    found = F.transform(F.regexp_extract_all(seen, F.lit(_HREF + '"([^"]*)"'), F.lit(2)), lambda h: F.translate(h, "\n\r\t", ""))
-    joined = other_entities(F.array_join(found, "\n"))
-    plain = F.when(F.contains(joined, F.lit("&")), F.split(joined, "\n")).otherwise(found)
-    return F.when(F.size(found) > 0, F.transform(plain, decode_entities)).otherwise(found)
+def decoded_href(href: Column) -> Column:
+    """A link target without line ends and tabs, its entities decoded."""
+    return decode_entities(other_entities(F.translate(href, "\n\r\t", "")))

@@ -74,16 +74,22 @@ def resolve(base: Column, href: Column) -> Column:
     )
 
 
-def accepted_link(
-    base: Column, href: Column, include: str | None = None, exclude: str | None = None, external: bool = False
-) -> Column:
-    """The absolute address of a link that may be followed, without trailing slashes; null for others."""
-    url = resolve(base, href)
-    good = ~is_skipped_link(href) & ~is_skipped_file(url) & url.rlike("(?i)^https?:")
+def is_page(base: Column, url: Column, include: str | None = None, exclude: str | None = None, external: bool = False) -> Column:
+    """Whether an absolute address found on the page ``base`` may be followed."""
+    good = ~is_skipped_file(url) & url.rlike("(?i)^https?:")
     if not external:
         good = good & same_domain(url, base)
     if include:
         good = good & url.rlike(include)
     if exclude:
         good = good & ~url.rlike(exclude)
+    return good
+
+
+def accepted_link(
+    base: Column, href: Column, include: str | None = None, exclude: str | None = None, external: bool = False
+) -> Column:
+    """The absolute address of a link that may be followed, without trailing slashes; null for others."""
+    url = resolve(base, href)
+    good = ~is_skipped_link(href) & is_page(base, url, include, exclude, external)
     return F.when(good, F.regexp_replace(url, "/+$", ""))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.html import hrefs
-from attestry.functions.urls import accepted_link
+from attestry.functions.html import decoded_href, hrefs, link_source
+from attestry.functions.urls import is_page, is_skipped_link, resolve
 from attestry.sources.scratch import materialize
 
 
@@ -14,9 +14,13 @@ def page_links(
     pages: DataFrame, include: str | None = None, exclude: str | None = None, external: bool = False
 ) -> DataFrame:
     """``url, pos, link``: the accepted links of each page, the first place of each."""
-    raw = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
-    links = raw.withColumn("link", accepted_link(F.col("url"), F.col("href"), include, exclude, external))
-    return links.where("link IS NOT NULL").groupBy("url", "link").agg(F.min("pos").alias("pos")).select("url", "pos", "link")
+    # generators part the steps, so that no step is computed again inside a later condition
+    sources = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(F.array(link_source(F.col("html")))).alias("source"))
+    raw = sources.select("url", F.posexplode(hrefs(F.col("source"))).alias("pos", "href"))
+    named = raw.select("url", "pos", F.explode(F.array(decoded_href(F.col("href")))).alias("href")).where(~is_skipped_link(F.col("href")))
+    found = named.select("url", "pos", F.explode(F.array(resolve(F.col("url"), F.col("href")))).alias("to"))
+    links = found.where(is_page(F.col("url"), F.col("to"), include, exclude, external)).withColumn("link", F.regexp_replace("to", "/+$", ""))
+    return links.groupBy("url", "link").agg(F.min("pos").alias("pos")).select("url", "pos", "link")
 
 
 def crawl(links: DataFrame, start: str, max_depth: int = 2, max_urls: int = 50) -> DataFrame:
@@ -39,10 +43,12 @@ def crawl(links: DataFrame, start: str, max_depth: int = 2, max_urls: int = 50)
             .join(found.select(F.col("url").alias("link")), "link", "left_anti")
             .orderBy("at").limit(max_urls - n)
         )
-        ranked = new.agg(F.sort_array(F.collect_list(F.struct("at", "link"))).alias("all")).select(F.posexplode("all").alias("i", "x"))
-        level = materialize(
-            ranked.select((F.col("i") + n + 1).cast("long").alias("rank"), F.col("x.link").alias("url"), F.lit(depth).alias("depth")), "level"
-        )
+        # ranks by partitions of a total order: the rows before a partition, then the place in it
+        placed = materialize(new.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()), "level")
+        sizes = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.min("i").alias("first"))
+        earlier = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("low")) - F.col("n")).alias("base"))  # a row for each task
+        rank = F.col("base") + F.col("i") - F.col("first") + n + 1
+        level = materialize(placed.join(F.broadcast(earlier), "part").select(rank.cast("long").alias("rank"), F.col("link").alias("url"), F.lit(depth).alias("depth")), "ranked")
         size = level.count()
         if not size:
             break

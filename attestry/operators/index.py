@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.html import page_text
+from attestry.functions.html import body_text, page_body
 from attestry.functions.text import chunk_selector, fingerprint, group_chunks, split_sentences, url_hash
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column; the generator keeps later expressions from computing it again."""
+    return rows.select(*(c for c in rows.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
+def _texts(pages: DataFrame) -> DataFrame:
+    """``url, text`` of all pages."""
+    bodies = _once(pages.select("url", "html"), "html", page_body(F.col("html")))
+    return _once(bodies, "html", body_text(F.col("html"))).withColumnRenamed("html", "text")
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """``url, text`` of ``url, html``; pages without text are left out (see ``quarantine``)."""
-    # the generator keeps the filter from being pushed below the text, which would compute it twice
-    text = F.filter(F.array(page_text(F.col("html"))), lambda t: F.length(t) > 0)
-    return pages.where("url IS NOT NULL").select("url", F.explode(text).alias("text"))
+    return _texts(pages.where("url IS NOT NULL")).where("text <> ''")
 
 
 def quarantine(pages: DataFrame) -> DataFrame:
     """Pages that can't be indexed, with the reason."""
-    text = page_text(F.col("html"))
-    return pages.select("url", text.alias("text")).where("url IS NULL OR text IS NULL OR text = ''").select(
+    return _texts(pages).where("url IS NULL OR text IS NULL OR text = ''").select(
         "url", F.when(F.col("url").isNull(), "no address").otherwise("no text").alias("reason")
     )
 

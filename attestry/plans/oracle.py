@@ -161,22 +161,27 @@ _HTML = f"""
                 WHEN l = '' THEN '' ELSE '<p>' || {_esc('l')} || '</p>' END), chr(10))
             || coalesce('<a href="' || n.url || '/">' || n.url || '</a>', '')
             || coalesce(h.links, '')
+            || '<footer><A CLASS=x HREF=''../up/' || d.doc_id || '?a=1&amp;b=2''>up</A><a title="a > b" href = /plain-' || d.doc_id || '>plain</a><a href="/f-' || d.doc_id
+            || '.pdf">file</a><a href="javascript:go()">go</a><!-- <a href="/hidden">x</a> --><a href="&#47;num-&eacute;/./a/../' || d.doc_id || '">n</a></footer>'
             || '<footer><a href="#top">Top</a></footer></body></html>' AS html
         FROM docs d LEFT JOIN docs n ON n.doc_id = d.doc_id + 1
              LEFT JOIN (SELECT doc_id // 2 AS doc_id, string_agg('<a href="' || url || '/">' || url || '</a>', '' ORDER BY doc_id) AS links
                         FROM docs WHERE doc_id > 1 GROUP BY 1) h ON h.doc_id = d.doc_id
     )"""
 _SIGNS = " OR ".join(f"contains(lower(html), '{s}')" for s in fixed.SCRIPT_SIGNS)
-_HREF = '(?is)<a\\b[^>]*?\\bhref="([^"]*)"'
-_LINKS = f"""{_HTML}, raw AS (
-        SELECT url, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS href,
-               unnest(range(len(regexp_extract_all(html, '{_HREF}', 1)))) AS pos
-        FROM pages
+# the links of the rendered pages by their making, not by reading them
+_LINKS = """docs AS (
+        SELECT DISTINCT ON (doc_id) doc_id, url FROM documents WHERE url IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL
+    ), roots AS (SELECT *, regexp_extract(url, '^(https?://[^/]*)', 1) AS root, regexp_replace(url, '[^/]*/[^/]*$', '') AS above FROM docs
+    ), below AS (SELECT doc_id // 2 AS doc_id, list(url ORDER BY doc_id) AS urls FROM docs WHERE doc_id > 1 GROUP BY 1
+    ), raw AS (
+        SELECT r.url, list_concat([r.root, NULL], CASE WHEN n.url IS NULL THEN [] ELSE [n.url] END, coalesce(b.urls, []),
+            [CASE WHEN length(r.above) > length(r.root) THEN r.above ELSE r.root || '/' END || 'up/' || r.doc_id || '?a=1&b=2',
+             r.root || '/plain-' || r.doc_id, NULL, NULL, r.root || '/num-é/' || r.doc_id, NULL]) AS found
+        FROM roots r LEFT JOIN docs n ON n.doc_id = r.doc_id + 1 LEFT JOIN below b ON b.doc_id = r.doc_id
     ), links AS (
-        SELECT url, CAST(min(pos) AS INTEGER) AS pos, link FROM (
-            SELECT url, pos, regexp_replace(CASE WHEN href = '/' THEN regexp_extract(url, '^(https?://[^/]*)', 1) || '/' ELSE href END, '/+$', '') AS link
-            FROM raw WHERE href NOT LIKE '#%' AND href NOT LIKE 'mailto:%')
-        GROUP BY url, link
+        SELECT url, CAST(min(pos) AS INTEGER) AS pos, regexp_replace(link, '/+$', '') AS link FROM (
+            SELECT url, unnest(found) AS link, unnest(range(len(found))) AS pos FROM raw) WHERE link IS NOT NULL GROUP BY 1, 3
     )"""
 
 _DROPPED = "html"
@@ -191,7 +196,7 @@ _TABLES = f"""{_HTML}, cut AS (
         FROM pages
     )"""
 
-def _groups(table: str = "documents") -> str:
+def _groups(table: str = "documents", size: int = 8) -> str:
     """CTEs that fold sentences into chunks: ``placed(doc_id, pos, no)`` and ``typed(doc_id, pos, sentence, ...)``."""
     return f"""{_sentences(table)}, typed AS (
         SELECT doc_id, pos, sentence, length(sentence) - length(replace(sentence, '|', '')) >= 2 AS is_table,
@@ -204,20 +209,20 @@ def _groups(table: str = "documents") -> str:
         FROM sizes
         UNION ALL
         SELECT doc_id, total, step + 1,
-               CASE WHEN is_table THEN n1 WHEN after THEN n1 + 1 WHEN n1 >= 8 THEN 1 WHEN over THEN n1 ELSE n1 + 1 END,
-               CASE WHEN NOT is_table AND NOT after AND NOT over AND n1 >= 8 THEN no1 + 1 ELSE no1 END,
+               CASE WHEN is_table THEN n1 WHEN after THEN n1 + 1 WHEN n1 >= {size} THEN 1 WHEN over THEN n1 ELSE n1 + 1 END,
+               CASE WHEN NOT is_table AND NOT after AND NOT over AND n1 >= {size} THEN no1 + 1 ELSE no1 END,
                has1 OR NOT (is_table OR over),
                CASE WHEN is_table OR over THEN last1 ELSE is_bullet END,
                CASE WHEN is_table THEN waiting + 1 ELSE 0 END, is_table AND is_bullet,
-               CASE WHEN is_table OR over THEN NULL WHEN NOT after AND n1 >= 8 THEN no1 + 1 ELSE no1 END,
+               CASE WHEN is_table OR over THEN NULL WHEN NOT after AND n1 >= {size} THEN no1 + 1 ELSE no1 END,
                CASE WHEN NOT is_table AND waiting > 0 THEN no1 END, CASE WHEN is_table THEN 0 ELSE waiting END
         FROM (
             SELECT *, is_bullet AND has1 AND last1 AS after FROM (
                 SELECT f.doc_id, f.total, f.step, f.waiting, t.doc_id IS NULL AS over,
                        coalesce(t.is_table, false) AS is_table, coalesce(t.is_bullet, false) AS is_bullet,
                        CASE WHEN coalesce(t.is_table, false) OR f.waiting = 0 THEN f.n
-                            WHEN f.n + f.waiting <= 8 AND f.has THEN f.n + f.waiting ELSE f.waiting END AS n1,
-                       CASE WHEN coalesce(t.is_table, false) OR f.waiting = 0 OR (f.n + f.waiting <= 8 AND f.has) OR NOT f.has
+                            WHEN f.n + f.waiting <= {size} AND f.has THEN f.n + f.waiting ELSE f.waiting END AS n1,
+                       CASE WHEN coalesce(t.is_table, false) OR f.waiting = 0 OR (f.n + f.waiting <= {size} AND f.has) OR NOT f.has
                             THEN f.no ELSE f.no + 1 END AS no1,
                        f.has OR (f.waiting > 0 AND NOT coalesce(t.is_table, false)) AS has1,
                        CASE WHEN coalesce(t.is_table, false) OR f.waiting = 0 THEN f.last_bullet ELSE f.waiting_bullet END AS last1
@@ -256,6 +261,24 @@ _INDEX = f"""{_TABLES}, texts AS (
         SELECT doc_id, url, text FROM (SELECT p.doc_id, p.url, {_page_text("p.html")} AS text FROM pages p JOIN cut USING (doc_id)) WHERE text <> ''
     ), {_groups("texts")}"""
 
+_EMBEDDED = "the crew of the harbour lifted the old crane"
+
+
+def _near() -> str:
+    """Chunks near the query by the built-in vector, from the counts of hashed tokens."""
+    place = lambda t: f"CAST(('0x' || substr(md5({t}), 1, 6)) AS INTEGER) % 64"
+    unit = "CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT)::DOUBLE"
+    return f"""ask AS (
+            SELECT place, {unit} AS y FROM (SELECT 1 AS id, {place('t')} AS place, count(*) AS n FROM (SELECT unnest({_tokens(f"'{_EMBEDDED}'")}) AS t) GROUP BY ALL)
+        ), rows AS (SELECT DISTINCT source_id, chunk_index, coalesce(url, '') AS url, text FROM chunks WHERE text IS NOT NULL
+        ), numbered AS (SELECT *, row_number() OVER () AS id FROM rows
+        ), counted AS (SELECT id, {place('t')} AS place, count(*) AS n FROM (SELECT id, unnest({_tokens('text')}) AS t FROM numbered) GROUP BY ALL
+        ), units AS (SELECT id, place, {unit} AS x FROM counted
+        ), scored AS (
+            SELECT id, sum(x * coalesce(y, 0)) / sqrt(sum(x * x)) / sqrt((SELECT sum(y * y) FROM ask)) AS exact FROM units LEFT JOIN ask USING (place) GROUP BY id
+        ), near AS (SELECT source_id, chunk_index, url, text, round(exact, 4) AS score FROM scored JOIN numbered USING (id) WHERE exact >= 0.3)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "fingerprint": """
         SELECT doc_id, CASE WHEN length(text) > 0 THEN substr(sha256(text), 1, 12) END AS fingerprint,
@@ -307,6 +330,44 @@ ORACLE_SQL: dict[str, str] = {
             SELECT url, min(depth) AS depth, min({{'d': depth, 'p': place}}) AS spot FROM ordered GROUP BY url
         )
         SELECT row_number() OVER (ORDER BY spot) AS rank, url, depth FROM firsts QUALIFY row_number() OVER (ORDER BY spot) <= 50""",
+    "page_links_filtered": f"""WITH {_LINKS}
+        SELECT url, pos, link FROM links WHERE regexp_matches(link, '/(?:up|plain)') AND NOT regexp_matches(link, '[05]$')
+            AND regexp_extract(link, '://(?:www\\.)?([^/]*)', 1) = regexp_extract(url, '://(?:www\\.)?([^/]*)', 1)""",
+    "crawl_totals": f"""WITH RECURSIVE {_LINKS}, reached AS (
+            SELECT 0 AS depth, min(url) AS url, CAST([0] AS BIGINT[]) AS place FROM docs
+            UNION ALL SELECT depth + 1, link, list_append(place, pos) FROM reached JOIN links USING (url) WHERE depth < 2
+        ), firsts AS (SELECT url FROM reached GROUP BY url ORDER BY min({{'d': depth, 'p': place}}) LIMIT 30)
+        SELECT count(*) AS total_discovered, count(*) FILTER (WHERE url IN (SELECT url FROM docs)) AS total_indexed,
+               count(*) FILTER (WHERE url NOT IN (SELECT url FROM docs)) AS total_failed FROM firsts""",
+    "text_vectors": f"""
+        WITH t AS (SELECT doc_id, unnest({_tokens("text")}) AS token FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT doc_id, CAST(('0x' || substr(md5(token), 1, 6)) AS INTEGER) % 64 AS place, count(*) AS n FROM t GROUP BY ALL)
+        SELECT doc_id, CAST(place AS INTEGER) AS place, round(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT)::DOUBLE, 4) AS x FROM n""",
+    "search_sources": f"""WITH {_near()} SELECT source_id, chunk_index, url, text, score FROM near ORDER BY score DESC, source_id, chunk_index LIMIT 20""",
+    "search_fallback": f"SELECT source_id, chunk_index, url, text, CAST(score AS DOUBLE) AS score FROM ({_SEARCH} LIMIT 5)",
+    "check_embedded": f"""WITH {_near()}, hits AS (SELECT * FROM near ORDER BY score DESC, source_id, chunk_index LIMIT 5), agg AS (
+            SELECT count(*) AS n_results, coalesce(max(score), 0) AS best_score, count(DISTINCT nullif(url, '')) AS sources_matched,
+                   least(count(*) / greatest((SELECT count(DISTINCT url_hash) FROM sources), 1), 1.0) AS coverage FROM hits
+        ), blended AS (SELECT *, CASE WHEN n_results = 0 THEN 0.0 ELSE least(0.7 * best_score + 0.3 * coverage, 1.0) END AS blend FROM agg)
+        SELECT '{_EMBEDDED}' AS query, n_results, best_score, round(coverage, 4) AS coverage, CAST(round(blend, 4) AS DOUBLE) AS confidence,
+               CASE WHEN blend >= 0.7 THEN 'HIGH' WHEN blend >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS tier, blend >= 0.7 AS answerable, sources_matched
+        FROM blended""",
+    "source_chunks": """
+        SELECT DISTINCT source_id, chunk_index, css_selector, text FROM chunks WHERE source_id = (SELECT min(source_id) FROM chunks WHERE chunk_index IS NOT NULL) AND chunk_index IS NOT NULL""",
+    "text_claims": f"""
+        WITH c AS ({_CLAIMS}) SELECT text_id, claim_id, claim_text, verified FROM c WHERE text_id = (SELECT min(text_id) FROM c)""",
+    "text_relationships": f"""
+        WITH r AS ({_RELS}) SELECT text_id, rel_id, rel_type, array_to_string(claim_ids, ',') AS claim_ids FROM r WHERE text_id = (SELECT min(text_id) FROM r)""",
+    "source_lookup": f"WITH s AS ({_SOURCES}) SELECT * FROM s WHERE url_hash = (SELECT max(url_hash) FROM s)",
+    "relation_records": f"""
+        SELECT text_id, CAST(pos AS INTEGER) AS pos, 'R' || n AS relationship_id, type, claim_ids, '' AS synthesis_text,
+               '(R' || n || ':' || type || ':' || claim_ids || ')' AS marker FROM (
+            SELECT 't' || doc_id AS text_id, unnest(range(len(regexp_extract_all(text, '{_R}', 1)))) AS pos,
+                   CAST(unnest(regexp_extract_all(text, '{_R}', 1)) AS BIGINT) AS n,
+                   unnest(regexp_extract_all(text, '{_R}', 2)) AS type, unnest(regexp_extract_all(text, '{_R}', 3)) AS claim_ids
+            FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)""",
+    "chunk_sizes": f"""WITH RECURSIVE texts AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), {_groups("texts", 5)}
+        SELECT doc_id, count(DISTINCT no) AS n_chunks, count(*) AS n_sentences FROM placed GROUP BY doc_id""",
     "same_domain": """
         SELECT doc_id, host, host = lower(source) || '.example' AS same FROM (
             SELECT doc_id, source, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS host

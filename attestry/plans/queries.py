@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import html, markers, match, text, urls
+from attestry.functions.embed import hashed_vector
 from attestry.functions.fixed import WS
 from attestry.operators import catalog, crawl, index, search, verify
+from attestry.plans import api
 from attestry.plans.oracle import ORACLE_SQL
-from attestry.sources import pages
+from attestry.plans.rendering import rendered
 from attestry.sources.scratch import materialize
 from attestry.sources.tables import read
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 KEYWORD = "harbour"
+EMBEDDED = "the crew of the harbour lifted the old crane"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -34,7 +37,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.rendered(read(spark, folder, "documents"))
+    return rendered(read(spark, folder, "documents"))
 
 
 @query
@@ -149,6 +152,101 @@ def check_hits(spark: SparkSession, folder: str) -> DataFrame:
     return search.check_hits(read(spark, folder, "chunks"), KEYWORD)
 
 
+@query
+def search_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors first: chunks with the built-in vector of their text; a limit beyond the most allowed is held there."""
+    return search.search(_embedded(spark, folder), EMBEDDED, limit=99, min_score=0.3, embed=hashed_vector)
+
+
+@query
+def search_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """No vector is near enough, so keywords are looked for."""
+    return search.search(_embedded(spark, folder), KEYWORD, limit=5, min_score=0.999, embed=hashed_vector)
+
+
+@query
+def check_embedded(spark: SparkSession, folder: str) -> DataFrame:
+    """Confidence of a query by the hits of its vector."""
+    chunks = _embedded(spark, folder)
+    hits = search.search(chunks, EMBEDDED, limit=5, min_score=0.3, embed=hashed_vector)
+    return search.check_indexed(chunks, read(spark, folder, "sources"), EMBEDDED, hits=hits)
+
+
+def _embedded(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "chunks").withColumn("embedding", F.explode(F.array(hashed_vector(F.col("text")))))
+
+
+@query
+def text_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The built-in vectors of all documents, to 4 places."""
+    rows = read(spark, folder, "documents").select("doc_id", F.posexplode(hashed_vector(F.col("text"))).alias("place", "x"))
+    return rows.where("x <> 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+@query
+def source_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of the first source in their order."""
+    rows = catalog.once(read(spark, folder, "chunks"), ["source_id", "chunk_index"])
+    first = rows.agg(F.min("source_id")).scalar()
+    return catalog.listed(rows, "source_id", first, "chunk_index").select("source_id", "chunk_index", "css_selector", "text")
+
+
+@query
+def text_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """The claims of the first text by id as text."""
+    rows = catalog.latest(read(spark, folder, "claims"), ["text_id", "claim_id"], "created_at")
+    return catalog.listed(rows, "text_id", rows.agg(F.min("text_id")).scalar(), "claim_id").select("text_id", "claim_id", "claim_text", "verified")
+
+
+@query
+def text_relationships(spark: SparkSession, folder: str) -> DataFrame:
+    """The relationships of the first text that has some, by id as text."""
+    rows = catalog.latest(read(spark, folder, "relationships"), ["text_id", "rel_id"], "created_at")
+    found = catalog.listed(rows, "text_id", rows.agg(F.min("text_id")).scalar(), "rel_id")
+    return found.select("text_id", "rel_id", "rel_type", F.array_join("claim_ids", ",").alias("claim_ids"))
+
+
+@query
+def source_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """One stored source by its key."""
+    rows = catalog.latest(read(spark, folder, "sources"), ["url_hash"], "indexed_at")
+    return catalog.lookup(rows, "url_hash", rows.agg(F.max("url_hash")).scalar())
+
+
+@query
+def relation_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit records of relationships, with their markers made again."""
+    rows = verify.registry(_texts(spark, folder)).select("text_id", F.posexplode("rar_entries").alias("pos", "e"))
+    number = F.substring("e.relationship_id", 2, 20).cast("bigint")
+    return rows.select(
+        "text_id", "pos", F.col("e.relationship_id").alias("relationship_id"), F.col("e.type").alias("type"), F.array_join("e.claim_ids", ",").alias("claim_ids"),
+        F.col("e.synthesis_text").alias("synthesis_text"), markers.relation_marker(number, F.col("e.type"), F.col("e.claim_ids")).alias("marker"),
+    )
+
+
+@query
+def chunk_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks by a size of 1, which is held at 5."""
+    texts = read(spark, folder, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("string").alias("url"), "text")
+    rows = index.indexed(texts, 1).select("url", F.explode("groups").alias("g"))
+    return rows.groupBy(F.col("url").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n_chunks"), F.sum(F.size("g")).alias("n_sentences"))
+
+
+@query
+def page_links_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of the own site only that match one pattern and not another."""
+    return crawl.page_links(_pages(spark, folder), include="/(?:up|plain)", exclude="[05]$")
+
+
+@query
+def crawl_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """A crawl that indexes what it finds, summed up."""
+    snapshot = _pages(spark, folder).select("url", "html")
+    start = snapshot.agg(F.min("url")).first()[0]
+    store = api.Store(read(spark, folder, "sources"), read(spark, folder, "chunks"))
+    return api.crawl_and_index(store, snapshot, start or "", max_depth=3, max_urls=30, external=True)[1]
+
+
 @query
 def neighbour_expand(spark: SparkSession, folder: str) -> DataFrame:
     return search.neighbours(read(spark, folder, "chunks"))

@@ -5,14 +5,17 @@ import random
 import re
 from collections import deque
 from datetime import datetime
+from hashlib import md5
 from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import fixed, html, markers, match, text, urls
+from attestry.functions.embed import hashed_vector
 from attestry.operators import catalog, crawl, index, search, verify
 from attestry.plans import api
+from attestry.plans.rendering import rendered
 from attestry.sources import pages
 
 
@@ -164,6 +167,87 @@ def test_page_text(spark):
     assert column(spark, ["<html><body>" + "<i></i>" * 1000 + "short</body></html>"], "string", html.needs_scripts) == [True]
 
 
+def test_handwritten_pages(spark):
+    known = [
+        ("<nav><nav>x</nav>MENU</nav><p>body</p>", "body"),
+        ("<div>a<script>if (a < 1) { '<nav>' }</script>b</div>", "ab"),
+        ("<footer>one<footer>two</footer>three</footer>left<nav/>", "left"),
+        ("<p>caf&eacute; &#8212; &#x41;&hellip; &amp;eacute; &unknown;</p>", "café — A… &eacute; &unknown;"),
+        ("<svg><svg><path/></svg></svg><p>after</p><nav>never closed", "after\n\nnever closed"),
+        ("<p><a href='/one'>1</a> <A HREF=/two>2</A> <a title='a > b' href = \"/three\">3</a></p>", "[1](</one>) [2](</two>) [3](</three>)"),
+    ]
+    got = column(spark, [p for p, _ in known], "string", html.page_text)
+    assert [re.sub("\n+", "\n", g) for g in got] == [re.sub("\n+", "\n", w) for _, w in known]
+    page = ("<a href='/one'>1</a><a href=/two>2</a><a data-href=\"/no\" href=\"/three?a=1&amp;b=2\">3</a><!-- <a href='/hidden'>x</a> --><script>'<a href=\"/s\">'</script>"
+            "<a name=x>no</a><a\n href=\"sub/../f&ouml;\n\">4</a><a href=\"//h.example/x.pdf\">5</a><a href=\"ftp://a.example/\">6</a><a href='../up/'>7</a><a href=''>8</a><a " + "x " * 5000 + "href=/far>9</a>")
+    df = spark.createDataFrame([("https://a.example/b/c", page), ("https://a.example/none", "<p>no links</p>")], "url string, html string")
+    got = [r.link for r in crawl.page_links(df, external=True).orderBy("pos").collect()]
+    assert got == [f"https://a.example/{x}" for x in ("one", "two", "three?a=1&b=2", "b/fö", "up", "far")]
+
+
+def test_latest_never_mixes_rows_of_one_version(spark):
+    at = datetime(2030, 1, 1)
+    df = spark.createDataFrame([("k", "a", "z", at), ("k", "b", "y", at), ("k", "c", None, datetime(2029, 1, 1)), ("n", None, "p", at), ("n", "q", None, at)], "k string, x string, y string, at timestamp")
+    got = {r.k: (r.x, r.y) for r in catalog.latest(df, ["k"], "at").collect()}
+    assert got["k"] in {("a", "z"), ("b", "y")} and got["n"] == ("q", "p")
+
+
+def test_sources_that_share_a_fingerprint(spark):
+    at = datetime(2030, 1, 1)
+    rows = [("u1", "h1", "f", at), ("u2", "h2", "f", at), ("u3", "h3", "g", at), ("u4", "h4", "g", datetime(2029, 1, 1)), ("u4", "h4", "x", at), ("u5", "h5", None, at)]
+    got = catalog.conflicts(spark.createDataFrame(rows, "url string, url_hash string, shi_prefix string, indexed_at timestamp")).collect()
+    assert [tuple(r) for r in got] == [("f", 2, "u1")]
+
+
+def test_listings_in_order(spark):
+    df = spark.createDataFrame([("t", "C2"), ("t", "C10"), ("t", "C1"), ("u", "C3")], "text_id string, claim_id string")
+    assert [r.claim_id for r in catalog.listed(df, "text_id", "t", "claim_id").collect()] == ["C1", "C10", "C2"]
+
+
+def test_pages_verify_by_their_fingerprint(spark):
+    now = "The mill opened in 1950.\nIt has 12 wheels."
+    own = column(spark, [now], "string", text.fingerprint)[0]
+    texts = spark.createDataFrame([
+        ("a", f"The mill opened in 1950. [C1:{own}:css=#x]"), ("b", f"Wheels it has, 12 of them. [C1:{own}:css=#x]"), ("c", f"No such thing. [C1:{own}:css=#x]"),
+        ("d", "The mill opened in 1950. [C1:0123456789ab:css=#x]"), ("e", "It has. [C1:aaaaaaaaaaaa:css=#x]"), ("f", "Gone. [C1:bbbbbbbbbbbb:css=#x]"), ("g", None),
+    ], "text_id string, text string")
+    sources = spark.createDataFrame([("u", own), ("u", "0123456789ab"), ("gone", "bbbbbbbbbbbb"), (None, None)], "url string, shi_prefix string")
+    snapshot = spark.createDataFrame([("u", now), ("u", now), ("other", "x"), ("empty", ""), (None, "x")], "url string, text string").withColumn("page", F.lit(1))
+    got = {r.text_id: (r.shi_valid, r.match_method, r.verified, r.reason) for r in verify.verify_pages(texts, sources, snapshot).collect()}
+    assert got == {
+        "a": (True, "exact", True, None), "b": (True, "fuzzy", True, None), "c": (True, "none", False, None), "d": (False, "exact", False, None),
+        "e": (False, None, False, "source not found"), "f": (False, None, False, "page not fetched"),
+    }
+    assert verify.verify_pages(texts.limit(0), sources, snapshot).count() == 0
+
+
+def test_hashed_vectors_and_vector_search(spark):
+    got = column(spark, ["a b a", "", None, "..."], "string", lambda v: hashed_vector(v, 8))
+    assert sum(x * x for x in got[0]) == pytest.approx(1, abs=1e-6) and got[1:] == [[], None, []]
+    rows = [("s", i, t, [t], None) for i, t in enumerate(["the old mill", "a harbour crane", "the new mill", None, ""])]
+    df = spark.createDataFrame(rows + rows[:1], "source_id string, chunk_index int, text string, sentences array<string>, url string").withColumn("embedding", hashed_vector(F.col("text")))
+    hits = search.search(df, "old mill the", embed=hashed_vector).collect()
+    assert [(r.chunk_index, r.score) for r in hits] == [(0, 1.0)]
+    assert [r.chunk_index for r in search.search(df, "MILL", embed=hashed_vector, min_score=0.99, limit=0).collect()] == [0]
+    assert search.search(df, "...", embed=hashed_vector).count() == 0 and search.search(df.limit(0), "mill", embed=hashed_vector).count() == 0
+
+
+def test_the_shared_folder_is_needed_off_one_machine(spark):
+    from attestry.sources import scratch
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+    class Session:
+        def __init__(self, **kv):
+            self.conf = Conf({k.replace("__", "."): v for k, v in kv.items()})
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session(spark__master="spark://h:7077", spark__app__id="a"))
+    assert scratch.shared_dir(Session(spark__master="yarn", spark__app__id="a", spark__checkpoint__dir="hdfs:///x/")) == "hdfs:///x/attestry-a"
+
+
 def test_resolve_like_the_standard_library(spark):
     bases = ["https://a.example/b/c/d?q=1", "http://a.example", "https://a.example/", "https://a.example/x/"]
     refs = ["g", "./g", "g/", "/g", "//h.example/g", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../", "../g", "../../g", "http://o.example/z", "mailto:x", "g/../h", "/a/./b/../c"]
@@ -217,8 +301,8 @@ def test_latest_merges_fields(spark):
     old = datetime(1, 1, 1)
     for key in {c[0] for c in changes} - {None}:
         for place, field in ((1, 0), (2, 1)):
-            known = [(c[3] or old, c[place]) for c in changes if c[0] == key and c[place] is not None]
-            assert got[key][field] == (max(known)[1] if known else None)
+            known = [(c[3] or old, md5("\x1f".join("" if x is None else str(x) for x in c[1:3]).encode()).hexdigest(), c[place]) for c in changes if c[0] == key and c[place] is not None]
+            assert got[key][field] == (max(known)[2] if known else None)
     assert None not in got and catalog.latest(df.limit(0), ["k"], "at").count() == 0
 
 
@@ -317,7 +401,7 @@ def test_index_is_idempotent_and_keeps_sentences(spark):
 def test_long_code_lines_are_rendered_whole(spark):
     docs = spark.createDataFrame([(1, "https://a.example/1")], "doc_id long, url string").select(
         "doc_id", "url", F.concat(F.lit("[CODE]: "), F.repeat(F.lit("x"), 1_000_100), F.lit(" end")).alias("text"), F.lit("en").alias("lang"))
-    html = pages.rendered(docs).select(F.regexp_extract("html", "<pre>([^<]*)</pre>", 1).alias("code"))
+    html = rendered(docs).select(F.regexp_extract("html", "<pre>([^<]*)</pre>", 1).alias("code"))
     assert html.select(F.length("code"), F.endswith("code", F.lit(" end"))).first() == (1_000_104, True)
 
 
