@@ -96,7 +96,59 @@ WITH once AS (
 )
 """
 
+# pairs by a prefix filter: texts at the threshold share one of their rarest substrings
+_P1_SQL = """
+WITH texts AS (
+    SELECT DISTINCT ON (chunk_id) chunk_id AS id, text FROM chunks WHERE chunk_id IS NOT NULL AND length(text) >= 250
+), reps AS (SELECT min(id) AS id, text FROM texts GROUP BY text
+), grams AS (SELECT id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS gs FROM reps
+), flat AS (SELECT id, unnest(gs) AS g, len(gs) AS n FROM grams
+), often AS (SELECT g, count(*) AS f FROM flat GROUP BY g
+), placed AS (SELECT id, g, n, row_number() OVER (PARTITION BY id ORDER BY f, g) AS place FROM flat JOIN often USING (g)
+), prefix AS (SELECT id, g FROM placed WHERE place <= n - CAST(ceil(0.7 * n) AS BIGINT) + 1
+), near AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.g = b.g AND a.id < b.id
+), pairs AS (
+    SELECT a, b FROM (
+        SELECT a, b, len(list_intersect(x.gs, y.gs)) AS c, len(x.gs) + len(y.gs) AS n
+        FROM near JOIN grams x ON x.id = a JOIN grams y ON y.id = b) WHERE c * 10 >= 7 * (n - c)
+), members AS (SELECT r.id AS rep, t.id FROM reps r JOIN texts t USING (text))
+"""
+
+_P8_SQL = """
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200
+), places AS (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS p FROM docs
+), stretches AS (SELECT doc_id, p, md5_number(substr(text, p + 1, 200)) AS h FROM places
+), common AS (SELECT h FROM stretches GROUP BY h HAVING min(doc_id) <> max(doc_id)
+), hits AS (SELECT DISTINCT doc_id, p FROM stretches WHERE h IN (SELECT h FROM common)
+), runs AS (SELECT doc_id, p, sum(CASE WHEN p <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+            FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hits)
+), spans AS (SELECT doc_id, CAST(min(p) AS INTEGER) AS start_pos, CAST(max(p) + 200 AS INTEGER) AS end_pos FROM runs GROUP BY doc_id, run)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p1_found": _P1_SQL
+    + """SELECT least(x.id, y.id) AS chunk_id_a, greatest(x.id, y.id) AS chunk_id_b FROM pairs JOIN members x ON x.rep = a JOIN members y ON y.rep = b
+         UNION ALL SELECT x.id, y.id FROM members x JOIN members y ON x.rep = y.rep AND x.id < y.id""",
+    "p1_classes": _P1_SQL
+    + """, links AS (SELECT rep, count(*) AS n FROM (SELECT a AS rep FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY rep)
+         SELECT c.id AS chunk_id, coalesce(m.rep, c.id) AS class_id, coalesce(n, 0) AS n_links
+         FROM (SELECT DISTINCT chunk_id AS id FROM chunks WHERE chunk_id IS NOT NULL) c LEFT JOIN members m USING (id)
+              LEFT JOIN links l ON l.rep = coalesce(m.rep, c.id)""",
+    "p5_clean": _P5_SQL
+    + """, gone AS (SELECT chunk_id, list(sentence_no) AS nos FROM keyed JOIN hits USING (source_id, k) GROUP BY chunk_id
+         ), left_over AS (
+            SELECT c.chunk_id, c.sentences AS had, c.text, g.nos,
+                   list_transform(list_filter(range(len(c.sentences)), lambda i: NOT list_contains(g.nos, i)), lambda i: c.sentences[i + 1]) AS kept
+            FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks) c LEFT JOIN gone g USING (chunk_id))
+         SELECT chunk_id, CASE WHEN nos IS NULL THEN had ELSE kept END AS sentences,
+                CASE WHEN nos IS NULL THEN text ELSE coalesce(array_to_string(kept, ' '), '') END AS text FROM left_over""",
+    "p8_found": _P8_SQL + "SELECT doc_id, start_pos, end_pos FROM spans",
+    "p8_report": _P8_SQL
+    + """, sizes AS (SELECT doc_id, coalesce(max(length(text)), 0) AS n_chars FROM documents GROUP BY doc_id),
+         sums AS (SELECT doc_id, sum(end_pos - start_pos) AS n FROM spans GROUP BY doc_id)
+         SELECT s.doc_id, CAST(n_chars AS INTEGER) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars,
+                CASE WHEN n_chars > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / n_chars ELSE 0.0 END AS shared_part
+         FROM sizes s LEFT JOIN sums USING (doc_id)""",
     "p5_found": _P5_SQL
     + "SELECT chunk_id, CAST(sentence_no AS INTEGER) AS sentence_no FROM keyed JOIN hits USING (source_id, k)",
 }
