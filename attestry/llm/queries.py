@@ -103,14 +103,13 @@ WITH texts AS (
 ), reps AS (SELECT min(id) AS id, text FROM texts GROUP BY text
 ), grams AS (SELECT id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS gs FROM reps
 ), flat AS (SELECT id, unnest(gs) AS g, len(gs) AS n FROM grams
-), often AS (SELECT g, count(*) AS f FROM flat GROUP BY g
-), placed AS (SELECT id, g, n, row_number() OVER (PARTITION BY id ORDER BY f, g) AS place FROM flat JOIN often USING (g)
-), prefix AS (SELECT id, g FROM placed WHERE place <= n - CAST(ceil(0.7 * n) AS BIGINT) + 1
-), near AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.g = b.g AND a.id < b.id
+), often AS (SELECT g, row_number() OVER (ORDER BY count(*), g) AS rare FROM flat GROUP BY g
+), coded AS (SELECT id, n, rare, row_number() OVER (PARTITION BY id ORDER BY rare) AS place FROM flat JOIN often USING (g)
+), prefix AS (SELECT id, rare, n FROM coded WHERE place <= n - CAST(ceil(0.7 * n) AS BIGINT) + 1
+), near AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.rare = b.rare AND a.id < b.id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n
+), common AS (SELECT a, b, count(*) AS c FROM near JOIN coded x ON x.id = a JOIN coded y ON y.id = b AND y.rare = x.rare GROUP BY a, b
 ), pairs AS (
-    SELECT a, b FROM (
-        SELECT a, b, len(list_intersect(x.gs, y.gs)) AS c, len(x.gs) + len(y.gs) AS n
-        FROM near JOIN grams x ON x.id = a JOIN grams y ON y.id = b) WHERE c * 10 >= 7 * (n - c)
+    SELECT a, b FROM common JOIN grams x ON x.id = a JOIN grams y ON y.id = b WHERE c * 10 >= 7 * (len(x.gs) + len(y.gs) - c)
 ), members AS (SELECT r.id AS rep, t.id FROM reps r JOIN texts t USING (text))
 """
 
