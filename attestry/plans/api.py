@@ -6,9 +6,11 @@ writing to the caller, except ``reset``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.markers import grounded_text
@@ -48,13 +50,18 @@ def index_pages(store: Store, pages: DataFrame, sentences_per_chunk: int = 8) ->
     )
 
 
-def check_indexed(store: Store, query: str) -> tuple[DataFrame, DataFrame]:
-    """The answerability of a query (one row) and its hits in their context."""
-    return search.check_indexed(store.chunks, store.sources, query), search.check_hits(store.chunks, query)
+def check_indexed(
+    store: Store, query: str, vector: list[float] | None = None, embed: Callable[[Column], Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The answerability of a query (one row) and its hits in their context; by vectors first, if the query has one."""
+    hits = search.search(store.chunks, query, vector, embed=embed)
+    return search.check_indexed(store.chunks, store.sources, query, hits=hits), search.check_hits(store.chunks, query, hits=hits)
 
 
-def search_sources(store: Store, query: str, vector: list[float] | None = None, limit: int = 5) -> DataFrame:
-    return search.search(store.chunks, query, vector, limit)
+def search_sources(
+    store: Store, query: str, vector: list[float] | None = None, limit: int = 5, embed: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    return search.search(store.chunks, query, vector, limit, embed=embed)
 
 
 def list_sources(store: Store) -> DataFrame:
@@ -93,6 +100,12 @@ def verify_claims(store: Store, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     return rows, verify.verdicts(rows)
 
 
+def verify_pages(store: Store, texts: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same against pages ``url, html`` fetched anew, whose fingerprints are computed again."""
+    rows = verify.verify_pages(texts, store.sources, index.extracted(pages))
+    return rows, verify.verdicts(rows)
+
+
 def build_registry(texts: DataFrame) -> DataFrame:
     """The audit records of texts as structs and as JSON."""
     return verify.registry_json(verify.registry(texts)).withColumn("generated_at", F.current_timestamp())
@@ -109,10 +122,43 @@ def crawl_and_index(
     return after, crawl.crawl_summary(found, index.extracted(chosen))
 
 
+def crawl_task(
+    store: Store, pages: DataFrame, tasks_path: str, task_id: str, start_url: str, max_depth: int = 2, max_urls: int = 50, **options: object
+) -> Store:
+    """``crawl_and_index`` as a task whose states are appended to the table of ``TASK_SCHEMA`` at ``tasks_path``.
+
+    Its states are ``running``, then ``completed`` with the numbers found and
+    indexed, or ``failed`` with the error, which is raised again.
+    """
+    spark = pages.sparkSession
+    started = datetime.now(UTC)
+
+    def state(status: str, phase: str, found: int = 0, done: int = 0, error: str | None = None) -> None:
+        ended = None if status == "running" else datetime.now(UTC)
+        row = (task_id, status, start_url, started, ended, (phase, found, done, found), error)
+        catalog.append(spark.createDataFrame([row], TASK_SCHEMA), tasks_path)
+
+    state("running", "discovering")
+    try:
+        after, totals = crawl_and_index(store, pages, start_url, max_depth, max_urls, **options)
+        sums = totals.first()
+    except Exception as e:
+        state("failed", "failed", error=str(e))
+        raise
+    state("completed", "done", sums.total_discovered, sums.total_indexed)
+    return after
+
+
+def latest_tasks(states: DataFrame) -> DataFrame:
+    """The latest state of each task, as one row: those that have ended before those that run."""
+    ranked = F.max_by(F.struct(*states.columns), F.struct(F.coalesce("completed_at", "started_at"), F.col("completed_at").isNotNull()))
+    return states.groupBy("task_id").agg(ranked.alias("t")).select("t.*")
+
+
 def crawl_status(tasks: DataFrame, task_id: str) -> DataFrame:
     """One task of the table of ``TASK_SCHEMA``."""
-    return catalog.lookup(tasks, "task_id", task_id)
+    return catalog.lookup(latest_tasks(tasks), "task_id", task_id)
 
 
 def crawl_tasks(tasks: DataFrame) -> DataFrame:
-    return tasks.select("task_id", "status", "start_url", "started_at", "progress.urls_indexed").orderBy("started_at", "task_id")
+    return latest_tasks(tasks).select("task_id", "status", "start_url", "started_at", "progress.urls_indexed").orderBy("started_at", "task_id")

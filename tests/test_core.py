@@ -232,6 +232,24 @@ def test_hashed_vectors_and_vector_search(spark):
     assert search.search(df, "...", embed=hashed_vector).count() == 0 and search.search(df.limit(0), "mill", embed=hashed_vector).count() == 0
 
 
+def test_a_crawl_task_and_its_states(spark, tmp_path):
+    html_of = lambda *links: "".join(f"<p>The {x} mill opened.</p><a href='{x}'>x</a>" for x in links)
+    pages_df = spark.createDataFrame([("https://a.example/1", html_of("2", "3")), ("https://a.example/2", html_of("1"))], "url string, html string")
+    empty = spark.createDataFrame([], "url string, url_hash string, shi_prefix string, total_chunks int, full_text_length int, indexed_at timestamp")
+    store = api.Store(empty, spark.createDataFrame([], "source_id string, chunk_index int, text string, sentences array<string>, css_selector string, shi_prefix string, url string"))
+    path = str(tmp_path / "tasks")
+    after = api.crawl_task(store, pages_df, path, "t1", "https://a.example/1")
+    assert after.sources.count() == 2
+    checked = api.verify_pages(after, spark.createDataFrame([("x", "The 2 mill opened. [C1:" + after.sources.where("url like '%1'").first().shi_prefix + ":css=#a]")], "text_id string, text string"), pages_df)
+    assert [r.verified for r in checked[1].collect()] == [True]
+    with pytest.raises(Exception):
+        api.crawl_task(store, pages_df.drop("html"), path, "t2", "https://a.example/1")
+    states = spark.read.parquet(path)
+    one = api.crawl_status(states, "t1").first()
+    assert (one.status, one.progress.urls_discovered, one.progress.urls_indexed) == ("completed", 3, 2) and one.completed_at >= one.started_at
+    assert [(r.task_id, r.status) for r in api.crawl_tasks(states).collect()] == [("t1", "completed"), ("t2", "failed")]
+
+
 def test_the_shared_folder_is_needed_off_one_machine(spark):
     from attestry.sources import scratch
 
