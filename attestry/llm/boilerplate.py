@@ -4,9 +4,11 @@ Words get weights from labelled pages: positive where they speak for content,
 negative where they speak for the page around it. The pages are labelled by
 their own structure: a line whose form recurs, and recurs at the ends of chunks,
 is page; forms that recur in the middle or only on top, and lines in the middle
-that don't recur, are content. A maximum-entropy model of the words turns that
-into weights, and a second round labels by places around the lines that the
-first one is sure of, instead of by places in the chunk.
+that don't recur, are content. How often a form recurs, and where, is counted
+over all chunks; only the lines that the model is fitted on are a bounded
+sample. A maximum-entropy model of the words turns that into weights, and a
+second round labels by places around the lines that the first one is sure of,
+instead of by places in the chunk, counted over all chunks again.
 
 A linear scan over a chunk's lines then finds the contiguous region of maximum
 score, the main content. Lines outside it are page unless their own words speak
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ _GAPS = re.compile(r"\s+[|/>»·•–-]\s+|\s{2,}")
 _NO_ITEM = re.compile(r"[\d.!?。！？।؟:]")
 _TOKEN = re.compile(r"\d[\d.,:]*|[^\W\d_]+|[^\w\s]")
 _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
+_DIGITS = re.compile(r"\d[\d.,:]*")
+_NAME = re.compile(r"\b[A-ZÀ-ÞΑ-Ω][\w'’-]*")
 
 
 def is_article_line(line: str) -> bool:
@@ -87,55 +91,78 @@ def features(line: str) -> list[str]:
     return out
 
 
-def forms(line: str) -> tuple[str, str, str]:
-    """The keys by which a line's form recurs: whole, beginning and end."""
-    plain = re.sub(r"\s+", " ", re.sub(r"\d[\d.,:]*", "0", line)).strip()
-    if _DENSE.search(plain):
-        return "=" + plain, "^" + plain[:4], "$" + plain[-5:]
-    whole = re.sub(r"\b[A-ZÀ-ÞΑ-Ω][\w'’-]*", "A", plain)
-    words = plain.lower().split(" ")
-    return "=" + whole, "^" + " ".join(words[:2]), "$" + " ".join(words[-2:])
-
-
-def _place_in_chunk(n: int, i: int) -> str:
-    return "last" if i == n - 1 else "top" if i == 0 else "mid"
+def forms(line: str) -> tuple[str | None, str, str]:
+    """The keys by which a line's form recurs: whole (of lines that are trained on), beginning and end."""
+    long = len(line) > _LONG
+    if not line.isascii() and _DENSE.search(line):
+        plain = _plain(line)
+        return None if long else "=" + plain, "^" + plain[:4], "$" + plain[-5:]
+    words = _plain(line).split(" ") if not long else None
+    whole = None if words is None else "=" + _NAME.sub("A", " ".join(words))
+    first = words[:2] if words else line.split(None, 2)[:2]
+    last = words[-2:] if words else line.rsplit(None, 2)[-2:]
+    return whole, "^" + _DIGITS.sub("0", " ".join(first)).lower(), "$" + _DIGITS.sub("0", " ".join(last)).lower()
+
+
+def _plain(line: str) -> str:
+    return " ".join(_DIGITS.sub("0", line).split())
+
+
+def places_in_chunk(page: list[str]) -> list[str]:
+    """Of each line, whether it stands on top, in the middle or at the end; of fewer than four lines nothing is said."""
+    n = len(page)
+    return [] if n < 4 else ["last" if i == n - 1 else "top" if i == 0 else "mid" for i in range(n)]
+
+
+def places_around(page: list[str], score: Callable[[str], float]) -> list[str]:
+    """Of each line, whether it stands before, among or after the lines sure of being content; nothing if none is."""
+    n = len(page)
+    first = next((i for i in range(n) if score(page[i]) > _SURE), None)
+    if first is None:
+        return []
+    last = next(i for i in range(n - 1, first - 1, -1) if i == first or score(page[i]) > _SURE)
+    return [
+        "mid" if first < i < last else "last edge" if i == last else "edge" if i == first else "last" if i > last else "top"
+        for i in range(n)
+    ]
+
+
+def count_places(
+    pages: Iterable[list[str]], wanted: set[str], spots: Callable[[list[str]], list[str]]
+) -> dict[str, Counter]:
+    """How often each wanted form stands in which place, over all ``pages``."""
+    seen: dict[tuple[str, str], int] = defaultdict(int)
+    for page in pages:
+        for line, where in zip(page, spots(page)):
+            for key in forms(line):
+                if key in wanted:
+                    seen[key, where] += 1
+    places: dict[str, Counter] = defaultdict(Counter)
+    for (key, where), n in seen.items():
+        places[key][where] = n
+    return places
 
 
 def label_lines(
-    pages: list[list[str]], keys: list[list[tuple[str, str, str]]], scores: list[list[float]] | None = None
+    pages: list[list[str]], keys: list[list[tuple[str | None, str, str]]], spots: list[list[str]],
+    places: dict[str, Counter], around: bool = False,
 ) -> list[tuple[str, bool]]:
     """Lines labelled as content (True) or page (False); unclear lines are left out.
 
-    ``keys`` are the forms of the lines.
-
-    Of a form's lines the shares on top, in the middle and at the end decide;
-    with ``scores`` that is before, among and after the lines sure of being content.
+    ``keys`` are the forms of the lines, ``spots`` their places and ``places`` how
+    often each form stands in which place. Of a form's lines the shares on top, in
+    the middle and at the end decide; with ``around`` that is before, among and
+    after the lines sure of being content.
     """
-    spots: list[list[str]] = []
-    for k, page in enumerate(pages):
-        sure = [i for i, s in enumerate(scores[k]) if s > _SURE] if scores else []
-        if sure:
-            spots.append([
-                "mid" if sure[0] < i < sure[-1] else "edge" if i == sure[0] < sure[-1] else "last edge" if i == sure[-1]
-                else "last" if i > sure[-1] else "top" for i in range(len(page))
-            ])
-        elif scores or len(page) < 4:
-            spots.append([])
-        else:
-            spots.append([_place_in_chunk(len(page), i) for i in range(len(page))])
-    places: dict[str, Counter] = defaultdict(Counter)
-    for spot, page_keys in zip(spots, keys, strict=True):
-        for where, line_keys in zip(spot, page_keys):
-            for key in set(line_keys):
-                places[key][where] += 1
+    none: Counter = Counter()
 
     def side(key: str, whole: bool = False) -> int:
-        seen = places[key]
+        seen = places.get(key, none)
         n = sum(seen.values())
         if n < _RECURS:
             return 0
         last, among = (seen["last"] + seen["last edge"]) / n, seen["mid"] / n
-        if scores:
+        if around:
             edge = (seen["edge"] + seen["last edge"]) / n
             return 1 if among >= (0.2 if whole else 0.12) or last < 0.1 else -1 if among <= (0.12 if whole else 0.08) and (whole or edge < 0.5) else 0
         return -1 if last >= 0.16 and among <= 0.7 else 1 if last < 0.09 else 0
@@ -143,14 +170,14 @@ def label_lines(
     out: list[tuple[str, bool]] = []
     for page, spot, page_keys in zip(pages, spots, keys, strict=True):
         for i, (line, (whole, begin, end)) in enumerate(zip(page, page_keys, strict=True)):
-            if is_article_line(line):  # known by its form, its words needn't be learned
+            if whole is None or is_article_line(line):  # whole paragraphs, and lines known by their form, needn't be learned
                 continue
             s = side(whole, True)
             if s == 0:
                 sides = {side(begin), side(end)}
                 s = -1 if -1 in sides and 1 not in sides else 1 if 1 in sides and -1 not in sides else 0
             # what doesn't recur and stands in the middle is content
-            if s == 0 and sum(places[whole].values()) < _RECURS and len(page) >= 7 and 2 <= i < len(page) - 3 and (not scores or (spot and spot[i] == "mid")):
+            if s == 0 and sum(places.get(whole, none).values()) < _RECURS and len(page) >= 7 and 2 <= i < len(page) - 3 and (not around or (spot and spot[i] == "mid")):
                 s = 1
             if s:
                 out.append((line, s > 0))
@@ -158,24 +185,67 @@ def label_lines(
 
 
 def _fit(rows: list[tuple[str, bool]]) -> MaxEnt:
-    # a line that recurs word for word teaches no more than a few copies of it; whole paragraphs teach nothing new
-    kept = sorted(r for r, n in Counter(rows).items() if len(r[0]) <= _LONG for _ in range(min(n, 3 if r[1] else 12)))
+    # a line that recurs word for word teaches no more than a few copies of it
+    kept = sorted(r for r, n in Counter(rows).items() for _ in range(min(n, 3 if r[1] else 12)))
     return fit([features(line) for line, _ in kept], [y for _, y in kept], epochs=4)
 
 
-def fit_on(pages: list[list[str]]) -> MaxEnt:
-    """Weights from pages that label themselves; positive for content."""
+#: Counts the places of wanted forms, around lines sure of being content by the weights given, else in the chunk.
+Count = Callable[[set[str], list[float] | None], dict[str, Counter]]
+
+
+def _spots(weights: list[float] | None) -> Callable[[list[str]], list[str]]:
+    if weights is None:
+        return places_in_chunk
+    scorer = Scorer(weights)
+    return lambda page: places_around(page, scorer)
+
+
+def fit_on(pages: list[list[str]], count: Count | None = None) -> MaxEnt:
+    """Weights from pages that label themselves; positive for content.
+
+    ``count`` says how often forms recur in all pages, of which these may be a sample.
+    """
     keys = [[forms(line) for line in page] for page in pages]
-    first = Scorer(_fit(label_lines(pages, keys)).table())
-    scores = [[first(line) for line in page] for page in pages]
-    return _fit(label_lines(pages, keys, scores))
+    wanted = {k for page in keys for line in page for k in line if k is not None}
+    model = None
+    for _ in range(2):
+        weights = None if model is None else model.table()
+        spots = _spots(weights)
+        places = count(wanted, weights) if count else count_places(pages, wanted, spots)
+        model = _fit(label_lines(pages, keys, [spots(p) for p in pages], places, model is not None))
+    return model
+
+
+def _count_rows(wanted: set[str], weights: list[float] | None):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = ([s or "" for s in lines] for part in parts for lines in part.column(0).to_pylist())
+        places = count_places(pages, wanted, _spots(weights))
+        found = [(key, where, n) for key, seen in places.items() for where, n in seen.items()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["key", "spot", "n"])
+
+    return run
 
 
 def train(chunks: DataFrame, limit: int = TRAINING_CHUNKS) -> MaxEnt:
-    """Fit on at most ``limit`` chunks, chosen by a hash of their id."""
+    """Fit on at most ``limit`` chunks, chosen by a hash of their id.
+
+    The places of their lines' forms are counted over all chunks. A task sends the
+    counts of its rows, at most five for each form of the sample; only their sums
+    reach the driver. A chunk delivered twice counts twice there.
+    """
     rows = chunks.where("chunk_id IS NOT NULL AND size(sentences) > 0").select("chunk_id", "sentences")
-    sample = bounded_sample(rows, "chunk_id", limit)
-    return fit_on([[s or "" for s in row.sentences] for row in sample])
+    sample = {row.chunk_id: row.sentences for row in bounded_sample(rows, "chunk_id", limit)}
+
+    def count(wanted: set[str], weights: list[float] | None) -> dict[str, Counter]:
+        parts = rows.select("sentences").mapInArrow(_count_rows(wanted, weights), "key string, spot string, n long")
+        places: dict[str, Counter] = defaultdict(Counter)
+        for key, spot, n in parts.groupBy("key", "spot").agg(F.sum("n").alias("n")).collect():
+            places[key][spot] = n
+        return places
+
+    return fit_on([[s or "" for s in lines] for lines in sample.values()], count)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -196,49 +266,49 @@ def page_lines(scores: list[float]) -> list[int]:
     return [i for i, s in enumerate(scores) if s < (_INSIDE if start <= i < end else _OUTSIDE)]
 
 
+class _Remembered(dict):
+    """A dictionary that finds what it lacks by a function, and keeps it."""
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        if len(self) > 500_000:
+            self.clear()
+        out = self[key] = self.find(key)
+        return out
+
+
 class Scorer:
-    """Content scores of lines; remembers the weights of features it has met."""
+    """Content scores of lines; remembers the words and weights it has met."""
 
     def __init__(self, weights: list[float]):
-        self.weights = weights
-        self.known: dict[str, float] = {}
-        self.tokens: dict[str, tuple[str, str, float]] = {}
-
-    def _weight(self, feature: str) -> float:
-        w = self.known.get(feature)
-        if w is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            w = self.known[feature] = self.weights[hashed((feature,))[0]]
-        return w
-
-    def _token(self, token: str) -> tuple[str, str, float]:
-        """A token's word, its word when it isn't first (names are alike), and its weight."""
-        if len(self.tokens) > 300_000:
-            self.tokens.clear()
-        word = "0" if token[0].isdigit() else token.lower()
-        name = "A" if token[0].isupper() else word
-        out = self.tokens[token] = (word, name, self._weight("w" + word))
-        return out
+        self.weight = _Remembered(lambda feature: weights[hashed((feature,))[0]])
+        self.word_weight = _Remembered(lambda word: weights[hashed(("w" + word,))[0]])
+        self.word = _Remembered(lambda token: "0" if token[0].isdigit() else token.lower())
 
     def __call__(self, line: str) -> float:
-        """The sum over ``features(line)``, with the work on known tokens saved."""
+        """The sum over ``features(line)``, with the work on known words saved."""
         if is_article_line(line):
             return 8.0
-        weight = self._weight
         raw = _TOKEN.findall(line)
-        if not raw or line.isupper() or _DENSE.search(line):
-            return sum(map(weight, features(line)))
-        known, make = self.tokens.get, self._token
-        seen = [known(t) or make(t) for t in raw]
-        names = [x[1] for x in seen]
-        names[0] = seen[0][0]
+        if not raw:
+            return self.weight["empty"]
+        if not line.isascii() and _DENSE.search(line):
+            raw = _tokens(line)
+        word, upper, n = self.word.__getitem__, line.isupper(), len(raw)
+        name = lambda t: word(t) if upper or not t[0].isupper() else "A"
+        first, last = word(raw[0]), word(raw[-1])
+        head, tail = [first, *map(name, raw[1:3])], list(map(name, raw[-3:]))
+        if n <= 3:
+            tail[0] = first
         end = line.rstrip()[-1:]
-        total = sum({x[0]: x[2] for x in seen}.values())
-        return total + sum(map(weight, (
-            "b", "end" + (end if not end.isalnum() else "w"), "size" + str(min(12, len(seen).bit_length() * 2)),
-            "first" + seen[0][0], "first2" + " ".join(names[:2]), "first3" + " ".join(names[:3]),
-            "last" + seen[-1][0], "last2" + " ".join(names[-2:]), "last3" + " ".join(names[-3:]),
+        total = sum(map(self.word_weight.__getitem__, set(map(word, raw))))
+        return total + sum(map(self.weight.__getitem__, (
+            "b", "end" + (end if not end.isalnum() else "w"), "size" + str(min(12, n.bit_length() * 2)),
+            "first" + first, "first2" + " ".join(head[:2]), "first3" + " ".join(head),
+            "last" + last, "last2" + " ".join(tail[-2:]), "last3" + " ".join(tail),
             "menu" if _is_menu(line) else "text",
         )))
 
@@ -257,16 +327,17 @@ def _page_rows(weights: np.ndarray):
     return run
 
 
-def page_elements(chunks: DataFrame, training: DataFrame | None = None) -> DataFrame:
+def page_elements(chunks: DataFrame, training: DataFrame | None = None, residue: DataFrame | None = None) -> DataFrame:
     """Elements that belong to the page around the article: ``chunk_id, sentence_no INT``.
 
     Each once, however often a chunk is delivered. Null ids, null and empty
-    arrays have none; records of residue (problem 3) contribute none.
+    arrays have none; records of residue (problem 3) contribute none. Their ids
+    can be given as ``residue``, so that they needn't be found again.
     """
     model = train(chunks if training is None else training)
     rows = chunks.where("chunk_id IS NOT NULL AND size(sentences) > 0").select("chunk_id", "sentences")
     found = rows.mapInArrow(_page_rows(model.weights), "chunk_id long, sentence_no int")
-    return found.join(residue_records(chunks), "chunk_id", "left_anti").distinct()
+    return found.join(residue_records(chunks) if residue is None else residue.select("chunk_id"), "chunk_id", "left_anti").distinct()
 
 
 def main_content(chunks: DataFrame) -> DataFrame:
