@@ -70,8 +70,10 @@ def _tokens(line: str) -> list[str]:
 
 def _is_menu(line: str) -> bool:
     """Short items without figures between separators or wide gaps."""
-    parts = _GAPS.split(line.strip()) if len(line) <= 160 else ()
-    return len(parts) > 1 and all(0 < len(p) <= 24 and not _NO_ITEM.search(p) for p in parts)
+    if len(line) > 160 or _NO_ITEM.search(line):
+        return False
+    parts = _GAPS.split(line.strip())
+    return len(parts) > 1 and all(0 < len(p) <= 24 for p in parts)
 
 
 def features(line: str) -> list[str]:
@@ -91,17 +93,23 @@ def features(line: str) -> list[str]:
     return out
 
 
-def forms(line: str) -> tuple[str | None, str, str]:
-    """The keys by which a line's form recurs: whole (of lines that are trained on), beginning and end."""
-    long = len(line) > _LONG
-    if not line.isascii() and _DENSE.search(line):
+def _is_dense(line: str) -> bool:
+    return not line.isascii() and _DENSE.search(line) is not None
+
+
+def line_ends(line: str) -> tuple[str, str]:
+    """The keys by which a line's beginning and its end recur."""
+    if _is_dense(line):
         plain = _plain(line)
-        return None if long else "=" + plain, "^" + plain[:4], "$" + plain[-5:]
-    words = _plain(line).split(" ") if not long else None
-    whole = None if words is None else "=" + _NAME.sub("A", " ".join(words))
-    first = words[:2] if words else line.split(None, 2)[:2]
-    last = words[-2:] if words else line.rsplit(None, 2)[-2:]
-    return whole, "^" + _DIGITS.sub("0", " ".join(first)).lower(), "$" + _DIGITS.sub("0", " ".join(last)).lower()
+        return "^" + plain[:4], "$" + plain[-5:]
+    first, last = " ".join(line.split(None, 2)[:2]).lower(), " ".join(line.rsplit(None, 2)[-2:]).lower()
+    return "^" + _DIGITS.sub("0", first), "$" + _DIGITS.sub("0", last)
+
+
+def whole_form(line: str) -> str:
+    """The key by which a whole line recurs, whatever its figures and names are."""
+    plain = _plain(line)
+    return "=" + (plain if _is_dense(line) else _NAME.sub("A", plain))
 
 
 def _plain(line: str) -> str:
@@ -109,9 +117,9 @@ def _plain(line: str) -> str:
 
 
 def places_in_chunk(page: list[str]) -> list[str]:
-    """Of each line, whether it stands on top, in the middle or at the end; of fewer than four lines nothing is said."""
+    """Of each line, whether it stands on top, in the middle or at the end; of fewer than four lines only that they are few."""
     n = len(page)
-    return [] if n < 4 else ["last" if i == n - 1 else "top" if i == 0 else "mid" for i in range(n)]
+    return ["few"] * n if n < 4 else ["last" if i == n - 1 else "top" if i == 0 else "mid" for i in range(n)]
 
 
 def places_around(page: list[str], score: Callable[[str], float]) -> list[str]:
@@ -127,16 +135,31 @@ def places_around(page: list[str], score: Callable[[str], float]) -> list[str]:
     ]
 
 
+def _shape(words: list[str]) -> tuple[int, str]:
+    """What lines of one whole form have in common and is quickly told."""
+    return len(words), _NAME.sub("A", _DIGITS.sub("0", " ".join(words[:2] + words[-1:])))
+
+
 def count_places(
     pages: Iterable[list[str]], wanted: set[str], spots: Callable[[list[str]], list[str]]
 ) -> dict[str, Counter]:
     """How often each wanted form stands in which place, over all ``pages``."""
+    shapes = {_shape(k[1:].split()) for k in wanted if k[0] == "="}
     seen: dict[tuple[str, str], int] = defaultdict(int)
     for page in pages:
-        for line, where in zip(page, spots(page)):
-            for key in forms(line):
-                if key in wanted:
-                    seen[key, where] += 1
+        found = []
+        for i, line in enumerate(page):
+            found += [(key, i) for key in line_ends(line) if key in wanted]
+            # whole forms are made only where one is wanted that looks like the line
+            if len(line) <= _LONG and (_is_dense(line) or _shape(line.split()) in shapes):
+                whole = whole_form(line)
+                if whole in wanted:
+                    found.append((whole, i))
+        if found:
+            where = spots(page)
+            if where:
+                for key, i in found:
+                    seen[key, where[i]] += 1
     places: dict[str, Counter] = defaultdict(Counter)
     for (key, where), n in seen.items():
         places[key][where] = n
@@ -144,21 +167,24 @@ def count_places(
 
 
 def label_lines(
-    pages: list[list[str]], keys: list[list[tuple[str | None, str, str]]], spots: list[list[str]],
+    pages: list[list[str]], keys: list[list[tuple[str, str, str] | None]], spots: list[list[str]],
     places: dict[str, Counter], around: bool = False,
 ) -> list[tuple[str, bool]]:
     """Lines labelled as content (True) or page (False); unclear lines are left out.
 
-    ``keys`` are the forms of the lines, ``spots`` their places and ``places`` how
-    often each form stands in which place. Of a form's lines the shares on top, in
+    ``keys`` are the forms of the lines (whole, beginning, end) that are trained on,
+    ``spots`` their places and ``places`` how often each form stands in which place. Of a form's lines the shares on top, in
     the middle and at the end decide; with ``around`` that is before, among and
     after the lines sure of being content.
     """
     none: Counter = Counter()
 
-    def side(key: str, whole: bool = False) -> int:
+    def times(key: str) -> int:
         seen = places.get(key, none)
-        n = sum(seen.values())
+        return sum(seen.values()) - seen["few"]
+
+    def side(key: str, whole: bool = False) -> int:
+        seen, n = places.get(key, none), times(key)
         if n < _RECURS:
             return 0
         last, among = (seen["last"] + seen["last edge"]) / n, seen["mid"] / n
@@ -169,15 +195,16 @@ def label_lines(
 
     out: list[tuple[str, bool]] = []
     for page, spot, page_keys in zip(pages, spots, keys, strict=True):
-        for i, (line, (whole, begin, end)) in enumerate(zip(page, page_keys, strict=True)):
-            if whole is None or is_article_line(line):  # whole paragraphs, and lines known by their form, needn't be learned
+        for i, (line, line_keys) in enumerate(zip(page, page_keys, strict=True)):
+            if line_keys is None:
                 continue
+            whole, begin, end = line_keys
             s = side(whole, True)
             if s == 0:
                 sides = {side(begin), side(end)}
                 s = -1 if -1 in sides and 1 not in sides else 1 if 1 in sides and -1 not in sides else 0
             # what doesn't recur and stands in the middle is content
-            if s == 0 and sum(places.get(whole, none).values()) < _RECURS and len(page) >= 7 and 2 <= i < len(page) - 3 and (not around or (spot and spot[i] == "mid")):
+            if s == 0 and times(whole) < _RECURS and len(page) >= 7 and 2 <= i < len(page) - 3 and (not around or (spot and spot[i] == "mid")):
                 s = 1
             if s:
                 out.append((line, s > 0))
@@ -206,14 +233,17 @@ def fit_on(pages: list[list[str]], count: Count | None = None) -> MaxEnt:
 
     ``count`` says how often forms recur in all pages, of which these may be a sample.
     """
-    keys = [[forms(line) for line in page] for page in pages]
-    wanted = {k for page in keys for line in page for k in line if k is not None}
+    # whole paragraphs, and lines known by their form, needn't be learned
+    keys = [[None if len(x) > _LONG or is_article_line(x) else (whole_form(x), *line_ends(x)) for x in page] for page in pages]
+    wanted = {k for page in keys for line in page if line for k in line}
     model = None
     for _ in range(2):
         weights = None if model is None else model.table()
         spots = _spots(weights)
         places = count(wanted, weights) if count else count_places(pages, wanted, spots)
         model = _fit(label_lines(pages, keys, [spots(p) for p in pages], places, model is not None))
+        # those that stand in fewer places altogether don't recur around sure lines either
+        wanted = {k for k, seen in places.items() if sum(seen.values()) >= _RECURS}
     return model
 
 
@@ -295,7 +325,7 @@ class Scorer:
         raw = _TOKEN.findall(line)
         if not raw:
             return self.weight["empty"]
-        if not line.isascii() and _DENSE.search(line):
+        if _is_dense(line):
             raw = _tokens(line)
         word, upper, n = self.word.__getitem__, line.isupper(), len(raw)
         name = lambda t: word(t) if upper or not t[0].isupper() else "A"

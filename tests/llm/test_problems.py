@@ -244,6 +244,30 @@ def test_page_lines_held_out():
     assert good / total > 0.97
 
 
+def test_places_are_counted_over_all_pages(spark):
+    rng = random.Random(14)
+    extra = ["", "  ", "Ada Bo, 1.5", "l'Ada 12:30 x", "古い窯 12 を測定", "ไทย  A 5", "x " * 150, "By Ada", "By Bo"]
+    pages = [make_page(rng)[0] + rng.sample(extra, rng.randrange(4)) for _ in range(200)] + [["one"], ["Ada", "Bo", "x"]]
+    wanted = {k for p in pages[:20] for x in p for k in (boilerplate.whole_form(x), *boilerplate.line_ends(x))}
+    want = defaultdict(Counter)
+    for p in pages:
+        for x, where in zip(p, boilerplate.places_in_chunk(p), strict=True):
+            for k in ((boilerplate.whole_form(x),) if len(x) <= 220 else ()) + boilerplate.line_ends(x):
+                if k in wanted:
+                    want[k][where] += 1
+    assert boilerplate.count_places(pages, wanted, boilerplate.places_in_chunk) == want
+    # a sample of the table is labelled by the counts of the whole table
+    df = spark.createDataFrame(list(enumerate(pages)), "chunk_id long, sentences array<string>")
+    seen = []
+    keep = boilerplate.label_lines
+    try:
+        boilerplate.label_lines = lambda *a: seen.append(a[3]) or keep(*a)
+        boilerplate.train(df, 20)
+    finally:
+        boilerplate.label_lines = keep
+    assert len(seen) == 2 and sum(seen[0]["=A to top"].values()) == sum("Back to top" in p for p in pages) > 20
+
+
 def test_scorer_equals_features_and_region():
     model = boilerplate.fit_on([make_page(random.Random(i))[0] for i in range(50)])
     scorer = boilerplate.Scorer(model.table())
