@@ -265,7 +265,7 @@ def test_places_are_counted_over_all_pages(spark):
         boilerplate.train(df, 20)
     finally:
         boilerplate.label_lines = keep
-    assert len(seen) == 2 and sum(seen[0]["=A to top"].values()) == sum("Back to top" in p for p in pages) > 20
+    assert len(seen) == 2 and sum(seen[0]["=A to top"].values()) == sum(p.count("Back to top") for p in pages) > 20
 
 
 def test_scorer_equals_features_and_region():
