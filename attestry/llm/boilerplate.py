@@ -19,15 +19,18 @@ clearly for the page (an advertisement between two paragraphs).
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.maxent import MaxEnt, bounded_sample, fit, hashed
+from attestry.llm.maxent import SPACE, MaxEnt, bounded_sample, fit, hashed, list_rows
 from attestry.llm.residue import residue_records
 
 #: Bound of the labelled sample: chunks the weights are fitted on.
@@ -43,6 +46,7 @@ _LISTED = re.compile(r"\s*(?:[-*•]|\d{1,3}[.)])\s")
 _FIGURES = re.compile(r"\| *[\d.,]+ *(?:\||$)")
 _GAPS = re.compile(r"\s+[|/>»·•–-]\s+|\s{2,}")
 _NO_ITEM = re.compile(r"[\d.!?。！？।؟:]")
+_SENTENCE_ENDS = ".!?。！？।؟:"  # of _NO_ITEM, those that most lines end in
 _TOKEN = re.compile(r"\d[\d.,:]*|[^\W\d_]+|[^\w\s]")
 _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 _DIGITS = re.compile(r"\d[\d.,:]*")
@@ -56,21 +60,19 @@ def is_article_line(line: str) -> bool:
     )
 
 
+def _pieces(token: str) -> list[str]:
+    if token[0].isdigit():
+        return ["0"]
+    return [token[i : i + 2] for i in range(max(1, len(token) - 1))] if _DENSE.match(token) else [token]
+
+
 def _tokens(line: str) -> list[str]:
-    out = []
-    for t in _TOKEN.findall(line):
-        if t[0].isdigit():
-            out.append("0")
-        elif _DENSE.match(t):
-            out += [t[i : i + 2] for i in range(max(1, len(t) - 1))]
-        else:
-            out.append(t)
-    return out
+    return [p for t in _TOKEN.findall(line) for p in _pieces(t)]
 
 
 def _is_menu(line: str) -> bool:
     """Short items without figures between separators or wide gaps."""
-    if len(line) > 160 or _NO_ITEM.search(line):
+    if len(line) > 160 or line[-1:] in _SENTENCE_ENDS or _NO_ITEM.search(line):
         return False
     parts = _GAPS.split(line.strip())
     return len(parts) > 1 and all(0 < len(p) <= 24 for p in parts)
@@ -135,26 +137,38 @@ def places_around(page: list[str], score: Callable[[str], float]) -> list[str]:
     ]
 
 
-def _shape(words: list[str]) -> tuple[int, str]:
-    """What lines of one whole form have in common and is quickly told."""
-    return len(words), _NAME.sub("A", _DIGITS.sub("0", " ".join(words[:2] + words[-1:])))
-
-
 def count_places(
     pages: Iterable[list[str]], wanted: set[str], spots: Callable[[list[str]], list[str]]
 ) -> dict[str, Counter]:
-    """How often each wanted form stands in which place, over all ``pages``."""
-    shapes = {_shape(k[1:].split()) for k in wanted if k[0] == "="}
+    """How often each wanted form stands in which place, over all ``pages``.
+
+    The forms are those of ``line_ends`` and ``whole_form``, put together from
+    words, which are few: no figure, name or change of case goes beyond a word.
+    """
+    low = _Remembered(lambda word: _DIGITS.sub("0", word.lower())).__getitem__
+    masked = _Remembered(lambda word: _NAME.sub("A", _DIGITS.sub("0", word))).__getitem__
+
+    def shape(words: list[str]) -> tuple:
+        """What lines of one whole form have in common and is quickly told."""
+        return len(words), *map(masked, words[:2]), *map(masked, words[-1:])
+
+    shapes = {shape(k[1:].split()) for k in wanted if k[0] == "="}
     seen: dict[tuple[str, str], int] = defaultdict(int)
     for page in pages:
         found = []
         for i, line in enumerate(page):
-            found += [(key, i) for key in line_ends(line) if key in wanted]
-            # whole forms are made only where one is wanted that looks like the line
-            if len(line) <= _LONG and (_is_dense(line) or _shape(line.split()) in shapes):
-                whole = whole_form(line)
-                if whole in wanted:
-                    found.append((whole, i))
+            if _is_dense(line):
+                plain = _plain(line)
+                keys = ["^" + plain[:4], "$" + plain[-5:]]
+                if len(line) <= _LONG:
+                    keys.append("=" + plain)
+            else:
+                words = line.split()
+                keys = ["^" + " ".join(map(low, words[:2])), "$" + " ".join(map(low, words[-2:]))]
+                # whole forms are made only where one is wanted that looks like the line
+                if len(line) <= _LONG and shape(words) in shapes:
+                    keys.append("=" + " ".join(map(masked, words)))
+            found += [(key, i) for key in keys if key in wanted]
         if found:
             where = spots(page)
             if where:
@@ -221,11 +235,17 @@ def _fit(rows: list[tuple[str, bool]]) -> MaxEnt:
 Count = Callable[[set[str], list[float] | None], dict[str, Counter]]
 
 
-def _spots(weights: list[float] | None) -> Callable[[list[str]], list[str]]:
-    if weights is None:
-        return places_in_chunk
-    scorer = Scorer(weights)
-    return lambda page: places_around(page, scorer)
+class _Around:
+    """Places around sure lines by a model's weights, of pages met before."""
+
+    def __init__(self, weights: list[float]):
+        self.scorer, self.known = Scorer(weights), {}
+
+    def meet(self, pages: list[list[str]]) -> None:
+        self.known = self.scorer.scores(chain.from_iterable(pages))
+
+    def __call__(self, page: list[str]) -> list[str]:
+        return places_around(page, self.known.__getitem__)
 
 
 def fit_on(pages: list[list[str]], count: Count | None = None) -> MaxEnt:
@@ -239,7 +259,10 @@ def fit_on(pages: list[list[str]], count: Count | None = None) -> MaxEnt:
     model = None
     for _ in range(2):
         weights = None if model is None else model.table()
-        spots = _spots(weights)
+        spots = places_in_chunk
+        if weights is not None:
+            spots = _Around(weights)
+            spots.meet(pages)
         places = count(wanted, weights) if count else count_places(pages, wanted, spots)
         model = _fit(label_lines(pages, keys, [spots(p) for p in pages], places, model is not None))
         # those that stand in fewer places altogether don't recur around sure lines either
@@ -249,8 +272,16 @@ def fit_on(pages: list[list[str]], count: Count | None = None) -> MaxEnt:
 
 def _count_rows(wanted: set[str], weights: list[float] | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages = ([s or "" for s in lines] for part in parts for lines in part.column(0).to_pylist())
-        places = count_places(pages, wanted, _spots(weights))
+        spots = places_in_chunk if weights is None else _Around(weights)
+
+        def pages() -> Iterator[list[str]]:
+            for part in parts:
+                batch = [[s or "" for s in lines] for lines in list_rows(part.column(0))]
+                if weights is not None:
+                    spots.meet(batch)
+                yield from batch
+
+        places = count_places(pages(), wanted, spots)
         found = [(key, where, n) for key, seen in places.items() for where, n in seen.items()]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["key", "spot", "n"])
@@ -310,13 +341,80 @@ class _Remembered(dict):
         return out
 
 
+_BLOCK = 50_000  # lines that are scored at once
+_WORD = crc32(b"w")
+_LONGEST = 64  # bytes of the longest words whose checksums are put together
+
+
+def _shifts() -> np.ndarray:
+    """What each byte of a CRC-32 becomes when 0 to ``_LONGEST`` bytes follow: the sum (xor) over its four bytes is the whole's."""
+    step = np.array([crc32(bytes([v])) ^ crc32(b"\0") for v in range(256)], np.uint32)
+    out = [np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)]
+    tables = [np.stack(out)]
+    for _ in range(_LONGEST):
+        last = tables[-1]
+        tables.append((last >> np.uint32(8)) ^ step[last & np.uint32(255)])
+    return np.stack(tables)
+
+
+_SHIFTS = _shifts()
+
+
+def _followed(crc: np.ndarray, by: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The CRC-32 of texts followed by others, of which the CRC-32 and the size are given."""
+    byte = [_SHIFTS[size, k, (crc >> np.uint32(8 * k)) & np.uint32(255)] for k in range(4)]
+    return byte[0] ^ byte[1] ^ byte[2] ^ byte[3] ^ by
+
+
+def _checksum(text: str) -> int:
+    return crc32(text.encode("utf-8", "surrogatepass"))
+
+
+class _Vocabulary(dict):
+    """Numbers of the words between gaps, with the tokens of each, and of these the lower case, its checksum, size and weight."""
+
+    def __init__(self, weights: list[float]):
+        super().__init__()
+        self.weights = weights
+        self.start, self.count = array("q"), array("q")  # of a word's tokens
+        self.low, self.upper = array("q"), array("b")  # of a token
+        self.crc, self.size, self.weight = array("I"), array("q"), array("d")  # of a token in lower case
+        self.numbers: dict[str, int] = {}  # of tokens in lower case
+        self.name = self._number("A")
+
+    def _number(self, low: str) -> int:
+        out = self.numbers.get(low)
+        if out is None:
+            out, data = len(self.crc), low.encode("utf-8", "surrogatepass")
+            self.numbers[low] = out
+            self.crc.append(crc32(data))
+            self.size.append(len(data))
+            self.weight.append(self.weights[crc32(data, _WORD) % SPACE])
+        return out
+
+    def __missing__(self, word: str) -> int:
+        tokens = [word] if word.isalpha() else _TOKEN.findall(word)
+        self.start.append(len(self.low))
+        self.count.append(len(tokens))
+        for t in tokens:
+            self.low.append(self._number("0" if t[0].isdigit() else t.lower()))
+            self.upper.append(t[0].isupper())
+        out = self[word] = len(self.start) - 1
+        return out
+
+
 class Scorer:
     """Content scores of lines; remembers the words and weights it has met."""
 
     def __init__(self, weights: list[float]):
+        self.weights = weights
         self.weight = _Remembered(lambda feature: weights[hashed((feature,))[0]])
         self.word_weight = _Remembered(lambda word: weights[hashed(("w" + word,))[0]])
         self.word = _Remembered(lambda token: "0" if token[0].isdigit() else token.lower())
+        self.end = _Remembered(lambda end: self.weight["end" + (end if not end.isalnum() else "w")])
+        self.sizes = np.array([self.weight["size" + str(min(12, n.bit_length() * 2))] for n in range(64)])
+        self.pieces = _Remembered(_pieces)
+        self.table, self.vocabulary = np.array(weights), _Vocabulary(weights)
 
     def __call__(self, line: str) -> float:
         """The sum over ``features(line)``, with the work on known words saved."""
@@ -335,21 +433,99 @@ class Scorer:
             tail[0] = first
         end = line.rstrip()[-1:]
         total = sum(map(self.word_weight.__getitem__, set(map(word, raw))))
-        return total + sum(map(self.weight.__getitem__, (
-            "b", "end" + (end if not end.isalnum() else "w"), "size" + str(min(12, n.bit_length() * 2)),
-            "first" + first, "first2" + " ".join(head[:2]), "first3" + " ".join(head),
-            "last" + last, "last2" + " ".join(tail[-2:]), "last3" + " ".join(tail),
-            "menu" if _is_menu(line) else "text",
-        )))
+        total += self.weight["b"] + self.end[end] + float(self.sizes[min(n, 63)]) + self.weight["menu" if _is_menu(line) else "text"]
+        edges = ("first", first), ("first2", " ".join(head[:2])), ("first3", " ".join(head)), ("last", last), ("last2", " ".join(tail[-2:])), ("last3", " ".join(tail))
+        return total + sum([self.weights[_checksum(kind + x) % SPACE] for kind, x in edges])
+
+    def scores(self, lines: Iterable[str]) -> dict[str, float]:
+        """The scores of many lines, by line.
+
+        Lines become numbers of the words between gaps, or of tokens in scripts
+        without spaces, and all else is done on arrays: a feature's checksum is put
+        together from its words'.
+        """
+        out: dict[str, float] = {}
+        once = [*{*lines}]
+        for start in range(0, len(once), _BLOCK):
+            self._score_block(once[start : start + _BLOCK], out)
+        return out
+
+    def _score_block(self, lines: list[str], out: dict[str, float]) -> None:
+        if len(self.vocabulary) > 500_000:
+            self.vocabulary = _Vocabulary(self.weights)
+        known, words, sizes, rest, upper = [], [], [], [], []
+        menu, text = self.weight["menu"], self.weight["text"]
+        for line in lines:
+            if is_article_line(line):
+                out[line] = 8.0
+                continue
+            found = [*chain.from_iterable(map(self.pieces.__getitem__, _TOKEN.findall(line)))] if _is_dense(line) else line.split()
+            if not found:
+                out[line] = self.weight["empty"]
+                continue
+            known.append(line)
+            words += found
+            sizes.append(len(found))
+            rest.append(self.end[line.rstrip()[-1:]] + (menu if _is_menu(line) else text))
+            upper.append(line.isupper())
+        if known:
+            total, sure = self._totals(np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words)), np.array(sizes), np.array(upper))
+            total += np.array(rest)
+            out.update(zip(known, total.tolist(), strict=True))
+            for i in np.flatnonzero(~sure).tolist():
+                out[known[i]] = self(known[i])
+
+    def _totals(self, words: np.ndarray, sizes: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of lines, given by the numbers of their words, the sums of all features but their end and menu; and which are valid.
+
+        They aren't without tokens, or if a word at an edge is longer than ``_LONGEST``.
+        """
+        v = self.vocabulary
+        start, count, low, name = np.array(v.start), np.array(v.count), np.array(v.low), np.array(v.upper, bool)
+        crc, size, weight = np.array(v.crc, np.uint32), np.array(v.size), np.array(v.weight)
+        tokens = count[words]
+        slot = np.repeat(start[words] - (np.cumsum(tokens) - tokens), tokens) + np.arange(tokens.sum())
+        token, name = low[slot], name[slot]
+        n = np.add.reduceat(tokens, np.cumsum(sizes) - sizes)
+        stop = np.cumsum(n)
+        # each word of a line once
+        pair = np.sort((np.repeat(np.arange(len(n)), n) << 32) | token)
+        pair = pair[np.diff(pair, prepend=-1) != 0]
+        total = np.bincount(pair >> 32, weight[pair & 0xFFFFFFFF], len(n)) + self.weight["b"] + self.sizes[np.minimum(n, 63)]
+        some = n > 0
+        if not some.any():
+            return total, some
+        token_or_name = np.where(name & ~np.repeat(upper, n), v.name, token)
+        at = lambda of, i: of[np.clip(i, 0, len(of) - 1)]
+        first, last = at(token, stop - n), at(token, stop - 1)
+        head = [first, at(token_or_name, stop - n + 1), at(token_or_name, stop - n + 2)]
+        tail = [np.where(n <= i, first, at(token_or_name, stop - i)) for i in (3, 2, 1)]
+        sure = some & (np.max([size[x] for x in (*head, *tail, last)], axis=0) <= _LONGEST)
+        fits = np.minimum(size, _LONGEST)
+        space = np.uint32(crc32(b" "))
+
+        def edge(kind: bytes, parts: list[np.ndarray], used: list[np.ndarray | bool]) -> np.ndarray:
+            out, begun = np.full(len(n), crc32(kind), np.uint32), np.zeros(len(n), bool)
+            for part, use in zip(parts, used, strict=True):
+                longer = np.where(begun, _followed(out, space, np.ones(len(n), np.int64)), out)
+                out = np.where(use, _followed(longer, crc[part], fits[part]), out)
+                begun |= use
+            return self.table[out % np.uint32(SPACE)]
+
+        total += edge(b"first", [first], [True]) + edge(b"last", [last], [True])
+        total += edge(b"first2", head[:2], [True, n > 1]) + edge(b"first3", head, [True, n > 1, n > 2])
+        total += edge(b"last2", tail[1:], [n > 1, True]) + edge(b"last3", tail, [n > 2, n > 1, True])
+        return total, sure
 
 
 def _page_rows(weights: np.ndarray):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights.tolist())
         for part in parts:
-            ids, numbers = [], []
-            for i, lines in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                found = page_lines([scorer(s or "") for s in lines])
+            ids, numbers, pages = [], [], [[s or "" for s in lines] for lines in list_rows(part.column(1))]
+            known = scorer.scores(chain.from_iterable(pages))
+            for i, page in zip(part.column(0).to_pylist(), pages, strict=True):
+                found = page_lines([known[s] for s in page])
                 ids += [i] * len(found)
                 numbers += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], ["chunk_id", "sentence_no"])

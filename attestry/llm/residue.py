@@ -19,7 +19,9 @@ page only if its terms are sure.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.urls import host
-from attestry.llm.maxent import MaxEnt, bounded_sample, fit, hashed
+from attestry.llm.maxent import MaxEnt, bounded_sample, fit, hashed, list_rows
 from attestry.sources.scratch import materialize
 
 #: Bounds of the labelled sample: repeated bodies, and fuller records, the model is fitted on.
@@ -354,7 +356,7 @@ def body_keys(body: Column) -> Column:
 def is_low(lines: Column, low_words: int) -> Column:
     """Whether a body has fewer than ``low_words`` words, two characters counting as one in scripts without spaces."""
     body = F.array_join(lines, " ")
-    gaps = F.length(body) - F.length(F.translate(body, " ", ""))
+    gaps = F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit("")))
     dense = F.regexp_count(body, F.lit("[\\u0e00-\\u0e7f\\u3040-\\u30ff\\u3400-\\u9fff]"))
     return (gaps < low_words) & (gaps + dense / 2 < low_words)
 
@@ -466,19 +468,62 @@ def fit_on(bodies: list[str], lines: list[str]) -> tuple[MaxEnt, MaxEnt]:
     return fit(rows, labels, epochs=4), fit(words, labels, epochs=4)
 
 
+class _Marks(dict):
+    """Numbers of the words between gaps; of each, how many tokens it has, and the sums of their kinds and weights."""
+
+    def __init__(self, kinds: _Kinds, scorer: Scorer):
+        super().__init__()
+        self.kinds, self.scorer = kinds, scorer
+        self.tokens, self.known, self.latin, self.weight = array("q"), array("q"), array("q"), array("d")
+
+    def __missing__(self, word: str) -> int:
+        tokens = _TOKEN.findall(word)
+        latin, known = divmod(sum(map(self.kinds.__getitem__, tokens)), _LATIN)
+        self.tokens.append(len(tokens))
+        self.known.append(known)
+        self.latin.append(latin)
+        self.weight.append(sum(map(self.scorer.words.__getitem__, tokens)))
+        out = self[word] = len(self.tokens) - 1
+        return out
+
+
+_BLOCK = 50_000  # lines that are looked at at once
+_NEAR = 1e-6  # beyond what the order of additions changes in a sum
+
+
+def doubtful(lines: list[str], marks: _Marks) -> Iterator[tuple[bool, bool]]:
+    """Of each line whether ``is_filler`` may hold for it, and whether ``Scorer.screen`` may be positive; as no token goes beyond a gap, words decide."""
+    for start in range(0, len(lines), _BLOCK):
+        found = [line.split() for line in lines[start : start + _BLOCK]]
+        ids = np.fromiter(map(marks.__getitem__, chain.from_iterable(found)), np.int64)
+        at = np.repeat(np.arange(len(found)), [len(words) for words in found])
+        n, known, latin, weight = (np.bincount(at, np.array(c)[ids], len(found)) for c in (marks.tokens, marks.known, marks.latin, marks.weight))
+        filler = (n >= 3) & ((known * 10 >= n * 9) | ((n >= 5) & (latin * 10 >= n * 8)))
+        yield from zip(filler.tolist(), (weight + marks.scorer.bias > -_NEAR).tolist(), strict=True)
+
+
 def _score_rows(weights: np.ndarray, words: np.ndarray, sure: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, kinds = Scorer(weights.tolist(), words.tolist()), _Kinds()
 
-        def is_residue(line: str, several: bool) -> bool:
+        marks = _Marks(kinds, scorer)
+
+        def is_residue(line: str, several: bool, filler: bool, response: bool) -> bool:
+            if not filler and not (several and response):
+                return False
             tokens = _TOKEN.findall(line)
             return is_filler(line, tokens, kinds) or (several and scorer.screen(tokens) > 0 and scorer(line) > sure)
 
         for part in parts:
-            ids, alone, low, lines = (c.to_pylist() for c in part.columns)
+            ids, alone, low = (c.to_pylist() for c in part.columns[:3])
+            lines = list_rows(part.column(3))
+            if len(marks) > 500_000:
+                marks = _Marks(kinds, scorer)
+            may = doubtful([s for ls in lines for s in ls], marks)
             out: list[tuple] = []
             for i, a, short, ls in zip(ids, alone, low, lines, strict=True):
-                if a or any(is_residue(s, len(ls) > 1 or not short) for s in ls):
+                several, doubts = len(ls) > 1 or not short, [*islice(may, len(ls))]
+                if a or any(is_residue(s, several, *d) for s, d in zip(ls, doubts, strict=True) if d[0] or d[1]):
                     out.append((i, True, None))
                 elif short and ls:
                     out.append((i, False, scorer(" ".join(ls))))
@@ -527,9 +572,9 @@ def train(rows: DataFrame, low: DataFrame, shared: DataFrame, min_hosts: int) ->
     """Fit on at most ``TRAINING_BODIES`` repeated bodies and the elements of ``TRAINING_CHUNKS`` fuller records."""
     often = shared.where(F.col("hosts") >= min_hosts).select("chunk_id")
     bodies = low.where("own = 0").join(often, "chunk_id", "left_semi").groupBy(F.element_at("keys", 1).alias("key")).agg(F.min("body").alias("body"))
-    fuller = rows.where("NOT low").select("chunk_id", "lines")
+    n_fuller = rows.select("chunk_id").count() - low.count()  # ``low`` is never null
     good = [r.body for r in bounded_sample(bodies, "key", TRAINING_BODIES)]
-    bad = [s for r in bounded_sample(fuller, "chunk_id", TRAINING_CHUNKS) for s in r.lines]
+    bad = [s for r in bounded_sample(rows, "chunk_id", TRAINING_CHUNKS, "NOT low", n_fuller) for s in r.lines]
     return fit_on(good, bad)
 
 

@@ -5,10 +5,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.llm import boilerplate, bpe, lines, mixing, near_duplicates, residue, sentences, spans
+from attestry.llm import boilerplate, bpe, lines, maxent, mixing, near_duplicates, residue, sentences, spans
 
 WORDS = "pump kiln net yard route weir dam oven quay mill ridge inlet lathe market valve sensor".split()
 
@@ -220,6 +221,13 @@ def test_every_filler_reaches_its_detector(spark):
     taken = {i for i, t in enumerate(fill) if residue.is_filler(t, residue._TOKEN.findall(t), residue._Kinds())}
     got = {r[0] for r in residue.residue_records(df).collect()}
     assert set(range(6)) <= taken <= got and len(taken) > 100
+    # words tell of which lines nothing has to be looked at
+    kinds, scorer = residue._Kinds(), residue.Scorer(*(m.table() for m in residue.fit_on([], [])))
+    fill += residue.MESSAGES + residue.PAGE_LINES + ["", " ", "ไทย 5", "a.b/c d"]
+    may = [*residue.doubtful(fill, residue._Marks(kinds, scorer))]
+    tokens = [residue._TOKEN.findall(t) for t in fill]
+    assert all(f for (f, _), t, x in zip(may, fill, tokens, strict=True) if residue.is_filler(t, x, kinds)) and not all(f for f, _ in may)
+    assert [r for _, r in may] == [scorer.screen(x) > 0 for x in tokens] and [*residue.doubtful([], residue._Marks(kinds, scorer))] == []
 
 
 # --- problem 4 ---------------------------------------------------------------
@@ -281,6 +289,35 @@ def test_scorer_equals_features_and_region():
         assert sum(s[a:b]) == pytest.approx(best)
 
 
+def test_lines_are_scored_together(spark):
+    rng = random.Random(15)
+    scorer = boilerplate.Scorer(boilerplate.fit_on([make_page(rng)[0] for _ in range(50)]).table())
+    bits = ["Ada", "the", "MILL", "l'Ada", "12:30", "ΟΔΟΣ", "İl", "²", "_", "|", "ไทยแลนด์ 5", "古い窯", "é" * 40, "«Ça»", "  ", "\x1cA", "[CODE]", "-", "end.", "A"]
+    lines = ["", "_ _", *bits] + [" ".join(rng.choices(bits, k=rng.randrange(1, 7))) for _ in range(3000)]
+    for some in (lines, ["_ _"], [""], ["é" * 40], []):
+        got = scorer.scores(some)
+        assert got.keys() == {*some} and all(got[x] == pytest.approx(scorer(x), abs=1e-9) for x in some)
+    # the two steps over all chunks don't go line by line
+    asked = []
+    keep, block = boilerplate.Scorer.__call__, boilerplate._BLOCK
+    part = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([["Back to top", "The mill opened."], [None]])], ["chunk_id", "sentences"])
+    try:
+        boilerplate.Scorer.__call__, boilerplate._BLOCK = lambda self, x: asked.append(x) or keep(self, x), 2
+        (found,) = boilerplate._page_rows(np.array(scorer.weights))([part])
+        [*boilerplate._count_rows({"^back to"}, scorer.weights)([part.select(["sentences"])])]
+    finally:
+        boilerplate.Scorer.__call__, boilerplate._BLOCK = keep, block
+    assert found.column(0).to_pylist()[0] == 7 and asked == []
+
+
+def test_arrays_and_samples_of_rows(spark):
+    column = pa.array([["a", None], None, [], ["b"], ["ไ", ""]])
+    assert [maxent.list_rows(c) for c in (column, column.slice(1, 3), column.slice(3), column[:0])] == [c.to_pylist() for c in (column, column.slice(1, 3), column.slice(3), column[:0])]
+    df = spark.range(5000).withColumn("odd", F.expr("id % 2 = 1"))
+    want = maxent.bounded_sample(df.where("odd"), "id", 50)
+    assert maxent.bounded_sample(df, "id", 50, "odd") == maxent.bounded_sample(df, "id", 50, "odd", 2500) == want and len(want) == 50
+
+
 def test_page_elements_rows(spark):
     rng = random.Random(6)
     data = [(i, "s", " ".join(p), p, None) for i, p in enumerate(make_page(rng)[0] for _ in range(300))]
